@@ -9,10 +9,12 @@ from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
 WEIGHTS, SHARE, MOST, FILLS = (5, 2, 1), 1.5, 2, 3
+#: The decisions are broadcast to the texts up to this many rows, and else both are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
-    """Number of [^\\x20\\x09-\\x0D]+ in text; 0 for null."""
+    """Number of [^\x20\x09-\x0D]+ in text; 0 for null."""
     words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "\u0001")
     return F.length(F.translate(words, " \t\n\x0b\x0c\r", "")).cast("long")
 
@@ -90,6 +92,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix() takes it."""
     plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").filter("copies > 0")
+    plan = stored(plan, "copies")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     sized = docs.withColumn("_words", word_count(F.col("text")))
     same = sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_words"] == plan["_size"])
     return sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
@@ -99,3 +103,22 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("doc_id", "size", "source_size", "target", taken, "source", "copies")
+
+
+#: The targets alone; whether a document is taken hangs on ranks that the tests hold against a sequential count.
+TARGETS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s AS (
+  SELECT source, source_size, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS w,
+         sum(source_size) OVER () AS every FROM s0),
+lv AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS level
+  UNION ALL
+  SELECT i + 1, (SELECT (1.5 * max(every) - coalesce(sum(2 * source_size) FILTER (w * lv.level > 2 * source_size), 0)) / sum(w) FILTER (NOT w * lv.level > 2 * source_size) FROM s)
+  FROM lv WHERE i < 40),
+t AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT level FROM lv WHERE i = 40)) AS target FROM s)
+SELECT d.doc_id, d.size, t.source_size, t.target, d.source FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
