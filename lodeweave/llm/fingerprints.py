@@ -7,32 +7,34 @@ from pyspark.sql import functions as F
 
 from lodeweave.session import stored
 
-SAMPLES = 32
+SAMPLES = 24
 _TERM = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(h: Column) -> Column:
-    """The upper 32 bits of a hash as a number in (0, 1)."""
-    return (F.shiftrightunsigned(h, 32).cast("double") + 0.5) / 4294967296.0
+def _uniform(h: Column, k: int) -> Column:
+    """The k-th of a hash's three runs of 21 bits as a number in (0, 1)."""
+    return (F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + 0.5) / 2097152.0
 
 
-def _uniform_low(h: Column) -> Column:
-    return (h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / 4294967296.0
+def sample(term: Column, i: int) -> tuple[Column, Column, Column]:
+    """ln c, r and b of the i-th consistent weighted sample of a term.
+
+    r and c are Gamma(2, 1) and b is uniform, all hashed from the term and i.
+    """
+    h1, h2 = (F.xxhash64(term, F.lit(2 * i + j)) for j in range(2))
+    return F.ln(-F.ln(_uniform(h2, 0) * _uniform(h2, 1))), -F.ln(_uniform(h1, 0) * _uniform(h1, 1)), _uniform(h1, 2)
 
 
-def sample(term: Column, log_weight: Column, i: int) -> Column:
-    """ln a of the i-th consistent weighted sample of a term.
+def weighed(drawn: tuple[Column, Column, Column], weight: Column) -> Column:
+    """ln a of a term of this weight: t = floor(ln w / r + b), ln a = ln c - r (t - b + 1); null without it.
 
-    r and c are Gamma(2, 1), b is uniform, all three hashed from the term and i; t = floor(ln w / r + b) and
-    ln a = ln c - r (t - b + 1). The term with the least a is the sample, and because a is a continuous
-    function of term and t alone, two texts share the sample exactly when their least a agree. That
-    happens with the probability of their generalised Jaccard similarity.
+    The term with the least a is the sample, and because a is a continuous function of term and t alone,
+    two texts share the sample exactly when their least a agree. That happens with the probability of
+    their generalised Jaccard similarity.
     """
-    h1, h2, h3 = (F.xxhash64(term, F.lit(3 * i + j)) for j in range(3))
-    r = -F.ln(_uniform(h1) * _uniform_low(h1))
-    c = -F.ln(_uniform(h2) * _uniform_low(h2))
-    b = _uniform(h3)
-    return F.ln(c) - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
+    ln_c, r, b = drawn
+    t = F.when(weight == 1, 0.0).otherwise(F.floor(F.ln(weight.cast("double")) / r + b).cast("double"))
+    return F.when(weight > 0, ln_c - r * (t - b + 1.0))
 
 
 def terms(text: Column) -> Column:
@@ -43,17 +45,20 @@ def terms(text: Column) -> Column:
     return F.zip_with(hashed, F.slice(before, 1, F.size(hashed)), lambda w, p: F.xxhash64(p, w))
 
 
-def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """texts (keys, text) to keys and signature (array of samples doubles).
+def signatures(texts: DataFrame, keys: list[str], kinds: int, samples: int = SAMPLES) -> DataFrame:
+    """texts (keys, kind, text) to keys and signature0, signature1, ...: samples doubles for each kind of text of a row.
 
-    Terms weigh as often as they occur. When texts is already dealt by one of the keys, neither
-    aggregation moves a row. Texts without a term have no row.
+    Terms weigh as often as they occur; one draw serves all kinds of a row. When texts is already dealt by
+    one of the keys, neither aggregation moves a row. A kind without a term has no signature.
     """
-    each = texts.select(*keys, F.explode(terms(F.col("text"))).alias("term"))
-    weighed = each.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("w"))
-    weighed = weighed.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("lw"))
-    least = weighed.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("lw"), i)).alias(f"s{i}") for i in range(samples)))
-    return least.select(*keys, F.array(*(f"s{i}" for i in range(samples))).alias("signature"))
+    each = texts.select(*keys, "kind", F.explode(terms(F.col("text"))).alias("term"))
+    counts = each.groupBy(*keys, "term").agg(*(F.count_if(F.col("kind") == j).alias(f"w{j}") for j in range(kinds)))
+    least = []
+    for i in range(samples):
+        drawn = sample(F.col("term"), i)
+        least += [F.min(weighed(drawn, F.col(f"w{j}"))).alias(f"s{j}_{i}") for j in range(kinds)]
+    made = counts.groupBy(*keys).agg(*least)
+    return made.select(*keys, *(F.when(F.col(f"s{j}_0").isNotNull(), F.array(*(f"s{j}_{i}" for i in range(samples)))).alias(f"signature{j}") for j in range(kinds)))
 
 
 def as_string(signature: Column) -> Column:
@@ -102,7 +107,7 @@ def neighbours(docs: DataFrame, blocks: int) -> DataFrame:
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     names = heads.select("block", F.lit(1).alias("one")).select("block", F.coalesce(F.lead("block").over(order), F.first("block").over(whole)).alias("after"))
     tails = names.join(heads.withColumnRenamed("block", "after"), "after").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "block", "after")
-    both = dealt.withColumn("after", F.lit(None).cast("int")).unionByName(tails)
+    both = dealt.withColumn("after", F.lit(None).cast("int")).unionByName(tails).repartition(max(2, blocks // 2), "block")
     within = Window.partitionBy("block").orderBy(F.col("after").isNotNull(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     both = both.withColumns({"row": F.row_number().over(within), "next_text": F.lead("text").over(within), "to": F.lead("after").over(within)})
     to_row = F.when(F.col("to").isNull(), F.col("row") + 1).otherwise(1)
@@ -119,17 +124,17 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
     doc_id each give a row. An empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    blocks = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    # small blocks: a task counts the words of a few hundred documents at a time
+    blocks = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 16)
     rows = neighbours(docs.select("doc_id", "text"), blocks)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
     rows = rows.select("block", "row", "doc_id", "text", edited.alias("edited"), "to_block", "to_row")
     both = rows.select("block", "row", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t")).select("block", "row", "t.*")
-    made = signatures(both, ["block", "row", "kind"], samples)
-    made = stored(made.select("block", "row", "kind", as_string(F.col("signature")).alias("print")), "signatures")
+    made = signatures(both, ["block", "row"], 2, samples)
+    own = stored(made.select("block", "row", as_string(F.col("signature0")).alias("p"), as_string(F.col("signature1")).alias("e")), "signatures")
     base = rows.select("block", "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "to_block", "to_row")
-    own = made.groupBy("block", "row").agg(F.max(F.when(F.col("kind") == 0, F.col("print"))).alias("p"), F.max(F.when(F.col("kind") == 1, F.col("print"))).alias("e"))
     nexts = own.select(F.col("block").alias("to_block"), F.col("row").alias("to_row"), F.col("p").alias("q"))
     out = base.join(own, ["block", "row"], "left").join(nexts, ["to_block", "to_row"], "left")
     p, e, q = (F.coalesce(x, F.lit("")) for x in ("p", "e", "q"))
