@@ -46,6 +46,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of finished steps when the driver collects their owners
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
