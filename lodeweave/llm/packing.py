@@ -18,14 +18,35 @@ from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
 CAPACITY, END = 4096, 1
-#: Words a worker remembers the ids of; then it starts anew.
-REMEMBERED = 1_000_000
+#: Words of one generation that a worker remembers the ids of; the generation before stays, what is met again moves on.
+REMEMBERED = 150_000
 TOKENIZER = "word_bpe_49k.json"
 #: What the fast path takes apart itself: letters of Latin-1, which lower-casing and NFC treat one by one, then ASCII marks but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACES = str.maketrans("\n\t\r", "   ")
 
 
+class Generations(dict):
+    """A dictionary that forgets what has not been asked for during a whole generation."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.old[word]
+        return got
+
+    def __contains__(self, word: object) -> bool:
+        return super().__contains__(word) or word in self.old
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+
+
 class WordCoder:
     """Token ids of texts, as the tokenizer gives them, with every word's ids computed once per worker.
 
@@ -39,8 +60,7 @@ class WordCoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.words, self.parts = Generations(), Generations()
 
     def direct(self, words: list[str]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -85,11 +105,9 @@ class WordCoder:
             try:
                 yield b"".join([known[w] for w in words])
             except KeyError:
-                if len(known) > REMEMBERED or len(self.parts) > REMEMBERED:
-                    self.words, self.parts = {"": b""}, {"": b""}
-                known = self.words
+                known.age()
+                self.parts.age()
                 self.learn({w for w in words if w not in known})
-                known = self.words
                 yield b"".join([known[w] for w in words])
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 _ROOT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 #: Bytes of text worked on at once (a longer text alone).
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

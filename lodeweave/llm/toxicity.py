@@ -42,7 +42,7 @@ class Factors(dict):
         self.telling, self.gain = telling, gain
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         ids = [i for c in clues(word) if (i := self.telling.get(c))]
         got = self[word] = float(np.exp(self.gain[ids].sum())) if ids else 0.0
