@@ -18,6 +18,8 @@ SAMPLED, FREQUENT = 64, 200_000
 #: Pairs and ids are broadcast up to this many rows, and else shuffled.
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 2
+#: A set's sketch counts its shingles in so many ranges of their hashes, a byte each.
+RANGES = 256
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -39,7 +41,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), key1 and key2 (the set's identity), prefix (the first columns of its row).
+    """doc_id, n (size of the set), key1 and key2 (the set's identity), prefix (the first columns of its row), sketch.
 
     Two sets of n and m >= n shingles that link share one of their first n - ceil(percent n / 100) + 1
     columns in any common order of columns.
@@ -56,6 +58,8 @@ def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(made + np.uint64(s)))]) for s in (1, 2)]
                     keys = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+                spread = np.bincount(owner * RANGES + (mix(made) % np.uint64(RANGES)).astype(np.int64), minlength=(high - low) * RANGES)
+                sketch = np.minimum(spread, 255).astype(np.uint8).reshape(-1, RANGES)
                 rank = np.zeros(len(made), np.int64)  # 0: not frequent
                 if len(by_value):
                     i = np.minimum(np.searchsorted(by_value, made), len(by_value) - 1)
@@ -68,9 +72,9 @@ def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                 keep = np.arange(len(made)) - at[owner] < first[owner]
                 kept = made[order][keep]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, first))]).astype(np.int32)), pa.array(kept.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], names=["doc_id", "n", "key1", "key2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n", "key1", "key2", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, key1 long, key2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, key1 long, key2 long, prefix array<long>, sketch binary")
 
 
 def sets_of(rows: DataFrame, k: int, keys: str) -> DataFrame:
@@ -106,9 +110,35 @@ def promising(pairs: DataFrame, percent: int) -> DataFrame:
     return total.filter(most >= least_overlap(F.col("a_n"), F.col("b_n"), percent))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def bounded(sketches: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link.
+
+    Two sets share in each range at most the smaller count, and at most the smaller of what the bytes
+    could not count over all ranges; so no linked pair goes.
+    """
+
+    def counts(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, RANGES)
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = counts(batch.column(1)), counts(batch.column(4))
+            n, m = (batch.column(i).to_numpy() for i in (2, 5))
+            most = np.minimum(a, b).sum(1, dtype=np.int64) + np.minimum(n - a.sum(1, dtype=np.int64), m - b.sum(1, dtype=np.int64))
+            keep = pa.array(most * (100 + percent) >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(keep)
+
+    rows = sketches.select("doc_id", "sketch", "n")
+    left = rows.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id")
+    left = left.select(F.col("doc_id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n"))
+    right = rows.join(small(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("a", F.col("doc_id").alias("b"), "sketch", "n")
+    return left.join(right, "a").mapInArrow(allowed, "a long, b long")
+
+
+def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Sets move once to the first of their pair, from a map-side lookup."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    pairs = stored(bounded(sketches, pairs, percent).distinct(), "bounded")
     text = docs.select("doc_id", "text")
     side_a = text.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id")
     side_b = text.join(small(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id")
@@ -126,8 +156,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     incidence matrix with its transpose is taken over blocks of columns, a class's first columns being
     enough for every link. In each block a pivot row is multiplied with the others first, so that a group
     of thousands of copies costs one pair per copy, and only pairs that no link joins yet are multiplied
-    after; nothing caps the partners. Overlaps of pairs are summed over blocks, bounded by the sizes, and
-    whole sets verify what is left.
+    after; nothing caps the partners. Overlaps of pairs are summed over blocks, bounded by the sizes and by
+    counts over ranges of hashes, and whole sets verify what is left.
 
     Null and empty texts have n_shingles 0 and are linked with nothing, rows without a doc_id stand for
     themselves with their class's component (null if all its ids are), rows that repeat a doc_id are one
@@ -163,13 +193,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             if pivot == PIVOTS:
                 pairs = pairs.filter("a < b")
         pairs = pairs.filter((100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n"))
-        new = stored(verified(docs, promising(pairs, percent), k, percent), "links")
+        new = stored(verified(docs, table, promising(pairs, percent), k, percent), "links")
         if links is not None and new.isEmpty():
             continue
         links = new if links is None else stored(links.union(new), "links")
         labels = components(links)
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*identity, F.coalesce("label", "rep").alias("label"))
-    out = table.drop("prefix").join(found, identity, "left")
+    out = table.drop("prefix", "sketch").join(found, identity, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
