@@ -17,7 +17,8 @@ from lodeweave.session import stored
 SAMPLED, FREQUENT = 64, 200_000
 #: Pairs and ids are broadcast up to this many rows, and else shuffled.
 BROADCAST_ROWS = 1_000_000
-PIVOTS = 2
+#: Rounds of pivot rows at most, ended where blocks hold this many pairs a row or fewer; then all pairs that no link joins meet.
+PIVOTS, PAIRS = 3, 2
 #: A set's sketch counts its shingles in so many ranges of their hashes, a byte each.
 RANGES = 256
 
@@ -154,9 +155,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Documents with equal sets form a class, whose smallest doc_id stands for it. The product of the
     incidence matrix with its transpose is taken over blocks of columns, a class's first columns being
-    enough for every link. In each block a pivot row is multiplied with the others first, so that a group
-    of thousands of copies costs one pair per copy, and only pairs that no link joins yet are multiplied
-    after; nothing caps the partners. Overlaps of pairs are summed over blocks, bounded by the sizes and by
+    enough for every link. In each block a pivot row is multiplied with the others first, that of the document
+    whose columns are the most shared, so that a group of thousands of copies costs a few pairs per copy,
+    and only pairs that no link joins yet are multiplied after; nothing caps the partners. Overlaps of pairs are summed over blocks, bounded by the sizes and by
     counts over ranges of hashes, and whole sets verify what is left.
 
     Null and empty texts have n_shingles 0 and are linked with nothing, rows without a doc_id stand for
@@ -170,34 +171,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = table.select("doc_id", *identity, "prefix").join(classes.filter("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", *identity], "left_semi").dropDuplicates(["doc_id", *identity])
     cells = rows.select("doc_id", "n", F.posexplode("prefix").alias("at", "g"))
     cells = stored(cells, "cells")
-    first = F.struct(F.xxhash64("doc_id", F.lit(1)).alias("p"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("at").alias("pivot_at"))
-    blocks = cells.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.min(first).alias("f")).filter("rows > 1").select("g", "f.*")
-    cells = stored(cells.join(blocks, "g").drop("p"), "blocks")
-    links, labels = None, None
-    for pivot in range(PIVOTS + 1):
-        marked = cells.select("g", "doc_id", "n", "at")
-        if labels is not None:
-            marked = marked.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        if pivot == 0:
-            pairs = cells.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), F.col("pivot_at").alias("a_at"), F.col("at").alias("b_at"), F.col("pivot_n").alias("a_n"), F.col("n").alias("b_n"))
-        else:
-            # blocks in which rows of several components meet
-            mixed = marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
-            marked = stored(marked.join(mixed, "g"), "mixed")
-            other = marked.select("g", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
-            if pivot < PIVOTS:
-                lead = F.min(F.struct(F.xxhash64("a", F.lit(pivot + 1)).alias("p"), "a", "a_n", "a_at", "a_label"))
-                other = other.groupBy("g").agg(lead.alias("f")).select("g", "f.*").drop("p")
-            pairs = marked.select("g", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "label").join(other, "g")
-            pairs = pairs.filter(F.col("a_label") != F.col("label"))
-            if pivot == PIVOTS:
-                pairs = pairs.filter("a < b")
+    blocks = cells.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    cells = stored(cells.join(blocks, "g"), "blocks")
+    central = cells.groupBy("doc_id").agg(F.sum("rows").alias("central"))
+    cells = stored(cells.drop("rows").join(central, "doc_id"), "central")
+    links, labels, pivots = None, None, 0
+    while True:
+        marked = cells.withColumn("label", F.col("doc_id")) if labels is None else cells.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        # blocks in which rows of several components meet
+        mixed = marked.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        marked = stored(marked.join(mixed.select("g", "rows"), "g"), "mixed")
+        most, among = marked.agg(F.sum(F.col("rows") - 1) / 2, F.count(F.lit(1))).first()
+        last = pivots == PIVOTS or not among or most <= PAIRS * among
+        other = marked.select("g", "central", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
+        if not last:
+            lead = F.max(F.struct("central", F.xxhash64("a").alias("p"), "a", "a_n", "a_at", "a_label"))
+            other = other.groupBy("g").agg(lead.alias("f")).select("g", "f.*").drop("p")
+        pairs = marked.select("g", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "label").join(other.drop("central"), "g")
+        pairs = pairs.filter("a < b" if last else "a <> b").filter(F.col("a_label") != F.col("label"))
         pairs = pairs.filter((100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n"))
         new = stored(verified(docs, table, promising(pairs, percent), k, percent), "links")
-        if links is not None and new.isEmpty():
-            continue
         links = new if links is None else stored(links.union(new), "links")
         labels = components(links)
+        if last:
+            break
+        # a pivot has met every row of its block
+        done = other.select("g", F.col("a").alias("doc_id"))
+        cells = stored(marked.drop("rows", "label").join(done, ["g", "doc_id"], "left_anti"), "central")
+        pivots += 1
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*identity, F.coalesce("label", "rep").alias("label"))
     out = table.drop("prefix", "sketch").join(found, identity, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label"))
