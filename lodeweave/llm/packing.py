@@ -19,32 +19,32 @@ from lodeweave.session import stored
 
 CAPACITY, END = 4096, 1
 #: Words of one generation that a worker remembers the ids of; the generation before stays, what is met again moves on.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 TOKENIZER = "word_bpe_49k.json"
-#: What the fast path takes apart itself: letters of Latin-1, which lower-casing and NFC treat one by one, then ASCII marks but the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_SPACES = str.maketrans("\n\t\r", "   ")
+#: Words that are encoded together, one a line: letters of Latin-1, which lower-casing and NFC treat one by one, then ASCII marks but the apostrophe.
+_LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
+_LETTERS, _MARKED = re.compile(f"^{_LATIN}$", re.M), re.compile(f"^({_LATIN})({_MARKS})$", re.M)
+_OTHER = re.compile(f"^(?!{_LATIN}(?:{_MARKS})?$).+$", re.M)
+_GAP = re.compile("[ \n\t\r]")
+#: Characters of text that are worked on at once, at least.
+AT_ONCE = 1 << 21
 
 
-class Generations(dict):
-    """A dictionary that forgets what has not been asked for during a whole generation."""
+class Generations:
+    """What words give, for as long as they are asked for: a word that a whole generation did not meet is forgotten."""
 
     def __init__(self):
-        super().__init__({"": b""})
+        self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        got = self[word] = self.old[word]
-        return got
-
-    def __contains__(self, word: object) -> bool:
-        return super().__contains__(word) or word in self.old
-
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-            self[""] = b""
+    def missing(self, words: set[str]) -> set[str]:
+        """The words that are not known; all others are in new after."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {"": b""}
+        lost = words.difference(self.new)
+        again = lost.intersection(self.old)
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return lost - again
 
 
 class WordCoder:
@@ -54,61 +54,75 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # letters in lower case need no more than their bytes
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words, self.parts = Generations(), Generations()
+        self.words = Generations()
 
-    def direct(self, words: list[str]) -> None:
+    def direct(self, some: set[str]) -> None:
+        words = list(some)
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.parts[word] = np.array(got.ids, dtype="<u4").tobytes()
-
-    def letters(self, words: list[str]) -> None:
-        """Runs of lower-case letters: each gives one token that ends a word, its last."""
-        for k in range(0, len(words), 500):
-            some = words[k : k + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                self.direct(some)
-                continue
-            raw, start = ids.tobytes(), 0
-            for word, stop in zip(some, (4 * stops).tolist()):
-                self.parts[word] = raw[start:stop]
-                start = stop
+            self.words.new[word] = np.array(got.ids, dtype="<u4").tobytes()
+
+    def letters(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of runs of letters: each gives one token that ends a word, its last."""
+        for k in range(0, len(words), 250):
+            some = words[k : k + 250]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from [raw[i:j] for i, j in zip([0, *stops], stops)]
 
     def learn(self, new: set[str]) -> None:
-        plain, other = [], []
-        for word in new:
-            m = _PLAIN.fullmatch(word)
-            if m:
-                plain.append((word, m[1].lower(), m[2]))
-            else:
-                other.append(word)
-        parts = self.parts
-        self.letters(sorted({c for _, c, _ in plain if c not in parts}))
-        self.direct(sorted({w for w in other if w not in parts} | {m for _, _, m in plain if m not in parts}))
-        words = self.words
-        for word, core, marks in plain:
-            words[word] = parts[core] + parts[marks]
-        for word in other:
-            words[word] = parts[word]
+        """Puts the ids of words into self.words."""
+        lines, words = "\n".join(new), self.words.new
+        bare = _LETTERS.findall(lines)
+        words.update(zip(bare, self.letters(bare), strict=True))
+        marked = _MARKED.findall(lines)
+        marks = [m for _, m in marked]
+        self.direct(set(marks) - words.keys())
+        cores = self.letters([c for c, _ in marked])
+        words.update((c + m, got + words[m]) for (c, m), got in zip(marked, cores, strict=True))
+        self.direct(set(_OTHER.findall(lines)) - words.keys())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        """Each text's ids as little-endian unsigned 32-bit numbers; parts of AT_ONCE characters or more are worked on together."""
+        waiting, size = [], 0
         for text in texts:
-            words = text.translate(_SPACES).split(" ") if len(text) < 1 << 22 else re.split("[ \n\t\r]", text)
-            known = self.words
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                known.age()
-                self.parts.age()
-                self.learn({w for w in words if w not in known})
-                yield b"".join([known[w] for w in words])
+            if len(text) > AT_ONCE:
+                yield from self._ids(waiting)
+                waiting, size = [], 0
+                yield b"".join(x for part in _parted(text) for x in self._ids([part]))
+                continue
+            waiting.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self._ids(waiting)
+                waiting, size = [], 0
+        yield from self._ids(waiting)
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if new := self.words.missing(set().union(*split)):
+            self.learn(new)
+        known = self.words.new.__getitem__
+        return (b"".join(map(known, words)) for words in split)
+
+
+def _parted(text: str) -> Iterator[str]:
+    """Parts of a text of at least AT_ONCE characters, cut at white space."""
+    low = 0
+    while low < len(text):
+        found = _GAP.search(text, low + AT_ONCE)
+        high = found.start() if found else len(text)
+        yield text[low:high]
+        low = high
 
 
 @lru_cache(maxsize=1)
@@ -137,8 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(_tokenizer_path(tokenizer))
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
                 texts = (t or "" for t in part.column(1).to_pylist())
                 for row, ids in enumerate(code.encode(texts)):
