@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.batches import map_batches
 from lodeweave.llm.components import components
 from lodeweave.llm.shingles import mix, shingle_sets, texts_of
 from lodeweave.session import stored
@@ -36,7 +37,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, offsets, k)[0].view(np.int64))], names=["g"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    often = some.mapInArrow(sample, "g long").groupBy("g").count().filter("count >= 3")
+    often = map_batches(some, sample, "g long").groupBy("g").count().filter("count >= 3")
     rows = often.orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
     return np.array([r["g"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
@@ -75,7 +76,7 @@ def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, first))]).astype(np.int32)), pa.array(kept.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n", "key1", "key2", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, key1 long, key2 long, prefix array<long>, sketch binary")
+    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n long, key1 long, key2 long, prefix array<long>, sketch binary")
 
 
 def sets_of(rows: DataFrame, k: int, keys: str) -> DataFrame:
@@ -88,7 +89,7 @@ def sets_of(rows: DataFrame, k: int, keys: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[:-1]), lists], names=[*batch.schema.names[:-1], "grams"])
 
-    return rows.mapInArrow(made, f"{keys}, grams array<long>")
+    return map_batches(rows, made, f"{keys}, grams array<long>")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def bounded(sketches: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     left = rows.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id")
     left = left.select(F.col("doc_id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n"))
     right = rows.join(small(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("a", F.col("doc_id").alias("b"), "sketch", "n")
-    return left.join(right, "a").mapInArrow(allowed, "a long, b long")
+    return map_batches(left.join(right, "a"), allowed, "a long, b long")
 
 
 def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:

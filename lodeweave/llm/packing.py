@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import config_lp
+from lodeweave.llm.batches import map_batches
 from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
@@ -173,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, fields)
+    return map_batches(docs.select("doc_id", "text"), cut, fields)
 
 
 def slots(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:

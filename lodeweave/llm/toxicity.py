@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.batches import map_batches
 from lodeweave.llm.crf import Crf, padded
 
 #: Labelled documents that the model is fitted on, at most: toxic ones and others.
@@ -204,7 +205,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 got = [own.score(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([",".join(f"{a}:{b}" for a, b in x) for _, x in got], pa.string())], names=["doc_id", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double, spans string")
+    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, spans string")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -218,7 +219,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 part = batch.slice(low, 1000)
                 yield part.filter(pa.array([own.score(t or "")[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_batches(docs, work, docs.schema)
 
 
 def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
