@@ -60,6 +60,10 @@ def test_secrets(spark, odd, none):
     made = secret_scan.scan(odd).toPandas()
     assert len(made) == len(ODD) and set(made.base_sha256) == {hashlib.sha256(b"").hexdigest()}
     assert secret_scan.scan(none).count() == 0
+    found = spark.createDataFrame([(1, "a password=hunter22x b"), (2, None)], "doc_id long, text string")
+    got = secret_scan.scan(found).orderBy("doc_id").collect()
+    assert [r["n_assign"] for r in got] == [1, 0] and got[0]["spans"].startswith("assign:2:20")
+    assert secret_scan.scan(found, "#").orderBy("doc_id").first()["text"] == "a # b"
     plain = spark.createDataFrame([(1, text, "en", "a", 1, "v")], DOCS)
     row = secret_scan.redacted(plain).first()
     assert "hunter22" not in row["text"] and row["n_chars"] == len(row["text"])
