@@ -102,13 +102,16 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
-def promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """Overlap counts of (a, b) accumulated over the columns of a block, without the pairs that the sizes rule out.
+def promising(pairs: DataFrame, percent: int, every: bool) -> DataFrame:
+    """The distinct pairs (a, b) that met in a block, without those that sizes and places of shared columns rule out.
 
-    Beyond the last column they share in the block, the smaller rest bounds what can follow.
+    Before a shared column at most the columns of the shorter beginning can be shared, from it on those of
+    the smaller rest: this holds whichever of the pair's columns were counted. Where every column was
+    (every), the count of those shared takes the place of the beginning.
     """
-    total = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-    most = F.col("shared") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
+    counted = F.count(F.lit(1)) - 1 if every else F.least(F.max("a_at"), F.max("b_at"))
+    total = pairs.groupBy("a", "b").agg(counted.alias("earlier"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    most = F.col("earlier") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     return total.filter(most >= least_overlap(F.col("a_n"), F.col("b_n"), percent))
 
 
@@ -158,8 +161,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     incidence matrix with its transpose is taken over blocks of columns, a class's first columns being
     enough for every link. In each block a pivot row is multiplied with the others first, that of the document
     whose columns are the most shared, so that a group of thousands of copies costs a few pairs per copy,
-    and only pairs that no link joins yet are multiplied after; nothing caps the partners. Overlaps of pairs are summed over blocks, bounded by the sizes and by
-    counts over ranges of hashes, and whole sets verify what is left.
+    and only pairs that no link joins yet are multiplied after; nothing caps the partners. Pairs are bounded by their sizes, by the places of the columns they
+    share (and the number of these, once no pivot has taken some out) and by counts over ranges of hashes, and whole sets verify what is left.
 
     Null and empty texts have n_shingles 0 and are linked with nothing, rows without a doc_id stand for
     themselves with their class's component (null if all its ids are), rows that repeat a doc_id are one
@@ -191,7 +194,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         pairs = marked.select("g", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "label").join(other.drop("central"), "g")
         pairs = pairs.filter("a < b" if last else "a <> b").filter(F.col("a_label") != F.col("label"))
         pairs = pairs.filter((100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n"))
-        new = stored(verified(docs, table, promising(pairs, percent), k, percent), "links")
+        # a pair whose columns pivots led in part was verified with them, so the last round counts every column of those still open
+        new = stored(verified(docs, table, promising(pairs, percent, last), k, percent), "links")
         links = new if links is None else stored(links.union(new), "links")
         labels = components(links)
         if last:

@@ -177,6 +177,20 @@ def test_jaccard_groups_of_near_copies(spark, odd, none):
     assert ngram_join.without_copies(odd).filter("doc_id in (6, 7)").count() == 1
 
 
+def test_jaccard_near_copies_that_share_passages(spark):
+    rng = np.random.default_rng(0)
+    passages = [[f"p{i}_{j}" for j in range(14)] for i in range(30)]
+    texts = {}
+    for i in range(300):
+        made = [w for p in rng.choice(30, 7, replace=False) for w in passages[p]] + [f"d{i}_{j}" for j in range(10)]
+        texts[2 * i] = " ".join(made)
+        for j in rng.choice(len(made), rng.integers(1, 3), replace=False):
+            made[j] = f"e{i}_{j}"
+        texts[2 * i + 1] = " ".join(made)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df, 4, 85).collect()} == plain_components(texts, 4, 85)
+
+
 def test_toxicity(spark, odd, none):
     got = toxicity.op9_toxic_spans(spark, SF).toPandas()
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in zip(got.doc_id, got.held_out))
