@@ -26,23 +26,24 @@ def best_fill(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[n
     return best, last
 
 
-def columns(lengths: np.ndarray, last: np.ndarray, capacity: int, depth: int = 64) -> list[np.ndarray]:
-    """For each length, the items of the dearest configuration that holds it: arrays of item numbers, -1 padded."""
-    free = capacity - lengths
-    items = [np.arange(len(lengths))]
-    for _ in range(depth):
-        while (skip := last[free] == -2).any():
-            free = np.where(skip, free - 1, free)
-        item = np.where(free > 0, last[free], -1)
-        if (item < 0).all():
-            break
-        items.append(item)
-        free = np.where(item >= 0, free - lengths[np.maximum(item, 0)], free)
-    return items
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1) -> dict[tuple[int, ...], float]:
-    """A fractional solution of the covering program: configuration (its sorted item numbers) to its multiplicity.
+def columns(lengths: np.ndarray, last: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each length the dearest configuration that holds it, followed until nothing more fits: length, item and how often, sorted."""
+    used = np.zeros((len(lengths), len(lengths)), np.int16 if capacity < 1 << 15 else np.int32)
+    own = np.arange(len(lengths))
+    used[own, own] = 1
+    full = np.maximum.accumulate(np.where(last != -2, np.arange(capacity + 1), 0))
+    free = full[capacity - lengths]
+    while len(own := own[keep := last[free] >= 0]):
+        free = free[keep]
+        item = last[free]
+        used[own, item] += 1
+        free = full[free - lengths[item]]
+    column, item = np.nonzero(used)
+    return column, item, used[column, item].astype(np.int64)
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1) -> dict[tuple[tuple[int, ...], tuple[int, ...]], float]:
+    """A fractional solution of the covering program: configuration (its sorted item numbers, how often each) to its multiplicity.
 
     Multiplicative weights: each round prices configurations by the knapsack program under the present
     duals; every length's best configuration grows by a step that covers no length by more than STEP of
@@ -54,14 +55,16 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1)
     for _ in range(ROUNDS):
         prices = duals * (1 + 0.02 * rng.random(len(lengths)))
         _, last = best_fill(lengths, prices, capacity)
-        table = np.stack(columns(lengths, last, capacity))
-        load = np.bincount(table[table >= 0], weights=np.broadcast_to(counts, table.shape)[table >= 0], minlength=len(lengths))
-        share = np.where(table >= 0, (counts / np.maximum(load, 1e-9))[np.maximum(table, 0)], np.inf).min(axis=0)
+        column, item, times = columns(lengths, last, capacity)
+        load = np.bincount(item, weights=times * counts[column], minlength=len(lengths))
+        share = np.full(len(lengths), np.inf)
+        np.minimum.at(share, column, (counts / np.maximum(load, 1e-9))[item])
         grow = STEP * share * counts
-        now = np.bincount(table[table >= 0], weights=np.broadcast_to(grow, table.shape)[table >= 0], minlength=len(lengths)) / counts
+        now = np.bincount(item, weights=times * grow[column], minlength=len(lengths)) / counts
         covered += now
+        at = np.searchsorted(column, np.arange(len(lengths) + 1))
         for j in np.flatnonzero(grow > 0):
-            key = tuple(sorted(table[table[:, j] >= 0, j].tolist()))
+            key = tuple(item[at[j] : at[j + 1]].tolist()), tuple(times[at[j] : at[j + 1]].tolist())
             x[key] = x.get(key, 0.0) + grow[j]
         duals *= np.exp(-RATE * (now / STEP - (now / STEP).mean()))
         duals = np.clip(duals, 0.25 * lengths / capacity, 4 * lengths / capacity)
@@ -69,12 +72,12 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1)
     return {k: v * scale for k, v in x.items()}
 
 
-def rounded(x: dict[tuple[int, ...], float], lengths: np.ndarray, counts: np.ndarray, seed: int = 2) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+def rounded(x: dict[tuple[tuple[int, ...], tuple[int, ...]], float], lengths: np.ndarray, counts: np.ndarray, seed: int = 2) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
     """Whole multiplicities that overfill no count, and what stays uncovered."""
     rng = np.random.default_rng(seed)
     room, out = np.floor(KEEP * counts).astype(np.int64), []
     left = counts.astype(np.int64).copy()
-    made = [(value, *np.unique(np.array(key), return_counts=True)) for key, value in sorted(x.items(), key=lambda kv: -kv[1])]
+    made = [(value, np.array(items), np.array(times)) for (items, times), value in sorted(x.items(), key=lambda kv: -kv[1])]
     for more in (1, 4):  # what one rounding leaves is rounded again, at larger multiplicities
         for value, items, times in made:
             n = int(more * value + rng.random())
@@ -85,10 +88,14 @@ def rounded(x: dict[tuple[int, ...], float], lengths: np.ndarray, counts: np.nda
     return out, left
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit decreasing by counts: (number of sequences, their items) for what the rounding left."""
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """Best fit decreasing by counts of what the rounding left, into the sequences begun and new ones: (number of sequences, their items)."""
     open_: dict[int, list[list]] = {}  # free tokens -> [number of sequences, items]
     spaces = np.zeros(capacity + 1, dtype=bool)
+    for number, items in begun:
+        free = capacity - sum(length * n for length, n in items.items())
+        open_.setdefault(free, []).append([number, items])
+        spaces[free] = free > 0
     for length, n in sorted(((int(a), int(b)) for a, b in zip(lengths, counts) if b), reverse=True):
         while n:
             at = length + int(np.argmax(spaces[length:])) if spaces[length:].any() else -1
@@ -127,4 +134,4 @@ def plan(lengths, counts, capacity: int) -> list[tuple[int, dict[int, int]]]:
     if not len(lengths):
         return out
     whole, left = rounded(solve(lengths, counts.astype(float), capacity), lengths, counts)
-    return out + whole + best_fit(lengths, left, capacity)
+    return out + best_fit(lengths, left, capacity, whole)

@@ -232,6 +232,17 @@ def test_plan_holds_every_piece():
     assert held == dict(zip(lengths.tolist(), counts.tolist()))
 
 
+def test_plan_fills_sequences_with_short_pieces():
+    lengths, counts, held = np.arange(5, 21), np.arange(3000, 4600, 100), Counter()
+    plan = config_lp.plan(lengths, counts, 4096)
+    for n, items in plan:
+        assert sum(a * b for a, b in items.items()) <= 4096
+        for a, b in items.items():
+            held[a] += n * b
+    assert held == dict(zip(lengths.tolist(), counts.tolist()))
+    assert sum(n for n, _ in plan) <= 1.01 * -(-(lengths * counts).sum() // 4096) + 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.drop_copies(spark, docs, SF)
