@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
-#: Turns of one rendered part; a longer conversation has several.
+#: Turns of one row of a rendering; that of a longer conversation has several.
 TURNS = 512
 
 
 def rotate(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
-    """Each part of each conversation, once for every participant who speaks in it.
+    """Each part of each conversation, once for every participant of the whole conversation.
 
-    Returns conv_id, part (from 0, of turns turns), speaker, n_turns, n_masked, text and masks. text has
+    A participant's parts in order make up their rendering of all turns. Returns conv_id, part (from 0, of turns turns), speaker, n_turns, n_masked, text and masks. text has
     the speaker's turns as <|assistant|>, the others' as <|user name=...|> and those of the role system as
-    <|system|>; masks ("start:end", code points, comma-joined) holds the spans to be learned: the
-    speaker's words and end marks. "<|" inside a turn becomes "< |", so that no turn can forge a mark.
+    <|system|>; masks ("start:end", code points of the whole rendering, comma-joined) holds the spans to
+    be learned: the speaker's words and end marks, none in a part where they say nothing. "<|" inside a turn becomes "< |", so that no turn can forge a mark.
 
     Turns go by turn, role and text, null turns first. A null role is the participant "", a null text is
     empty, null conv_ids are one conversation. Conversations of system turns alone have no participant
@@ -34,18 +34,32 @@ def rotate(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     )
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("words")]
     rows = ranked(stored(rows, "turns"), ["none", "conv"], order)
-    part = F.floor((F.col("rank") - 1) / turns).cast("int").alias("part")
-    parts = rows.groupBy("none", "conv", part).agg(F.array_sort(F.collect_list(F.struct("rank", "role", "words"))).alias("t"))
-    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("t", lambda x: x["role"]), lambda r: r != "system")))
-    seen = parts.select("none", "conv", "part", "t", F.explode(speakers).alias("speaker"))
+    rows = stored(rows.withColumn("part", F.floor((F.col("rank") - 1) / turns).cast("int")), "ranked")
+    keys = ["none", "conv", "part"]
+    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "role", "words"))).alias("t"))
+    speakers = rows.filter("role <> 'system'").select("none", "conv", F.col("role").alias("speaker")).distinct()
+    last = rows.groupBy("none", "conv").agg(F.max("part").alias("last"))
+    # dealt by part, so that a long conversation spans many partitions
+    views = speakers.join(last, ["none", "conv"]).select("none", "conv", "speaker", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
 
     def head(role):
         user = F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
         return F.when(role == F.col("speaker"), F.lit("<|assistant|>\n")).when(role == "system", F.lit("<|system|>\n")).otherwise(user)
 
+    # a turn's code points do not depend on the view but for the head of the speaker's own
+    chars = F.char_length(F.concat(F.when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n"))), "words", F.lit("<|end|>\n")))
+    by_role = stored(rows.groupBy(*keys, "role").agg(F.sum(chars).alias("chars"), F.count(F.lit(1)).alias("own")), "lengths")
+    whole = by_role.groupBy(*keys).agg(F.sum("chars").alias("chars"))
+    own = by_role.select(*keys, F.col("role").alias("speaker"), "own")
+    less = F.coalesce("own", F.lit(0)) * F.char_length(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+    more = F.coalesce("own", F.lit(0)) * F.char_length(F.lit("<|assistant|>\n"))
+    views = views.join(own, [*keys, "speaker"], "left").join(whole, keys).withColumn("size", F.col("chars") - less + more)
+    earlier = Window.partitionBy("none", "conv", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    views = stored(views.select(*keys, "speaker", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")), "views")
+    seen = parts.join(views, keys)
     pieces = F.transform("t", lambda x: F.struct((x["role"] == F.col("speaker")).alias("own"), head(x["role"]).alias("head"), F.concat(x["words"], F.lit("<|end|>")).alias("body")))
     seen = seen.withColumn("p", pieces)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("masks"))
+    start = F.struct(F.col("before").alias("at"), F.lit("").alias("masks"))
 
     def step(s, x):
         low = s["at"] + F.char_length(x["head"])

@@ -137,6 +137,22 @@ def test_perspectives(spark):
     assert row["text"][low:high] == "hi < |x|><|end|>"
 
 
+def test_perspectives_of_a_long_conversation(spark):
+    said = [("system" if i == 0 or 4 <= i < 6 else "ann" if i == 1 else ["bob", "é"][i % 2], f"turn {i} ü") for i in range(11)]
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    got = chat.rotate(df, turns=2).orderBy("part").collect()
+    assert len(got) == 3 * 6
+    for speaker in ("ann", "bob", "é"):
+        text, masks = "", []
+        for role, words in said:
+            text += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+            if role == speaker:
+                masks.append(f"{len(text)}:{len(text) + len(words) + 7}")
+            text += words + "<|end|>\n"
+        own = [r for r in got if r["speaker"] == speaker]
+        assert "".join(r["text"] for r in own) == text and [m for r in own for m in r["masks"].split(",") if m] == masks
+
+
 def plain_components(texts, k, percent):
     sets, inverse, up = {}, defaultdict(list), {}
     for i, t in texts.items():
