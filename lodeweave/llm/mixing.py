@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
-WEIGHTS, SHARE, MOST, FILLS = (5, 2, 1), 1.5, 2, 3
+WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: The decisions are broadcast to the texts up to this many rows, and else both are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -52,9 +52,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     A source whose target is r times its size takes every document floor(r) times for certain. The words
     left over are a Pareto order sample: document i, with inclusion probability p = r - floor(r), gets
     the ranking value odds(u_i) / odds(p) with u_i a uniform number hashed from its id, and the smallest
-    values are taken while their words fit. What the next one overshoots is filled by up to FILLS more
-    documents, the largest that fit and at last the one that comes nearest (ties to the smaller ranking
-    value). So every source ends within a few words of its target, no document is taken more than most times, and reruns agree.
+    values are taken while their words fit. One that overshoots is left out and those that fit are taken
+    further down the ranking, until the gap is smaller than every document left out; at last the one that
+    brings the words nearest to the target (ties to the smaller ranking value) may overshoot it. So a source ends short
+    of its target by less than its smallest untaken document, or over it by less than that gap was, no document is taken more than most times, and reruns agree.
 
     Repeated rows (same doc_id, source and size) are one unit, with their number in rows: all are taken
     equally often. A null text has size 0, a null source is a source, a null doc_id hashes as "".
@@ -76,14 +77,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = stored(ranked(stored(rows, "odds"), ["source_no"], order, "words"), "order")
     left = F.col("target") - F.col("whole") * F.col("source_size")
     rows = rows.withColumn("taken_now", (F.col("p") > 0) & (F.col("before") + F.col("words") <= left))
-    for k in range(FILLS):
-        # what is left of each source's target, then the largest document outside the sample that fits; at last the one that comes nearest
+    more = True
+    while more:
+        # what is left of each source's target, and the documents outside the sample that it has room for, as they rank
         gap = rows.groupBy("source_no").agg((F.first(left) - F.sum(F.when(F.col("taken_now"), F.col("words")).otherwise(0))).alias("gap"))
         rest = rows.filter(~F.col("taken_now") & (F.col("words") > 0) & (F.col("p") > 0)).join(gap, "source_no")
-        rest = rest.filter(F.col("words") <= F.col("gap") if k < FILLS - 1 else F.col("words") < 2 * F.col("gap"))
-        nearest = (-F.abs(F.col("gap") - F.col("words"))).alias("near")
-        best = rest.groupBy("source_no").agg((-F.max(F.struct(nearest, (-F.col("rank")).alias("r")))["r"]).alias("fill"))
-        rows = rows.join(best, "source_no", "left").withColumn("taken_now", F.col("taken_now") | F.coalesce(F.col("rank") == F.col("fill"), F.lit(False))).drop("fill")
+        rest = stored(rest.select("source_no", F.col("rank").alias("place"), "words", "gap").filter("words < 2 * gap"), "rest")
+        fitting = rest.filter("words <= gap")
+        more = not fitting.isEmpty()
+        if more:
+            fills = ranked(stored(fitting, "fitting"), ["source_no"], [F.col("place")], "words").filter(F.col("before") + F.col("words") <= F.col("gap"))
+        else:  # the one that comes nearest
+            nearest = (-F.abs(F.col("gap") - F.col("words"))).alias("near")
+            fills = rest.groupBy("source_no").agg((-F.max(F.struct(nearest, (-F.col("place")).alias("r")))["r"]).alias("place"))
+        fills = fills.select("source_no", F.col("place").alias("rank"), F.lit(True).alias("fill"))
+        rows = rows.join(fills, ["source_no", "rank"], "left").withColumn("taken_now", F.col("taken_now") | F.coalesce("fill", F.lit(False))).drop("fill")
         rows = stored(rows, "filled")
     copies = (F.col("whole") + F.col("taken_now").cast("long")).alias("copies")
     return rows.select("doc_id", "source", "size", "rows", "source_size", "target", copies)

@@ -48,6 +48,16 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixing_fills_what_a_long_document_overshoots(spark):
+    def u(i):
+        return int(hashlib.md5(f"{i}:7".encode()).hexdigest()[:12], 16) / (1 << 48)
+
+    long = min(range(1000, 1400), key=lambda i: abs(u(i) - 0.5))  # ranks in the middle
+    docs = spark.createDataFrame([(i, "w " * 100, "a") for i in range(200)] + [(long, "w " * 18000, "a")], "doc_id long, text string, source string")
+    made = mixing.mix(docs).toPandas()
+    assert abs((made["size"] * made.copies).sum() - made.target[0]) < 100
+
+
 def test_secrets(spark, odd, none):
     tag = secret_scan.tagger()
     hits = misses = 0
