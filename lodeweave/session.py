@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables of each session that are still there.
+_kept: dict[SparkSession, set[str]] = {}
+
+
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     base = {
@@ -27,13 +31,16 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor reaches.
 
-    It is the one that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    It is the one that the cluster names in spark.checkpoint.dir. Where that is unset and the master is
+    this machine alone, as in tests, a temporary folder takes its place; on a cluster that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors reach in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="lodeweave-")
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -41,14 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in the shared folder: later steps read it and lost executors cost no recomputation.
 
-    The table goes when the application ends.
+    The table goes when dropped() is called with it, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark._jvm.System.gc()  # Spark deletes the shuffle files of finished steps when the driver collects their owners
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Spark deletes the shuffle files of finished steps when the driver collects their owners, by itself only every half hour
+    spark._jvm.System.gc()
+    _kept.setdefault(spark, set()).add(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that stored() made and that no later step reads."""
+    for table in tables:
+        if path := table.__dict__.get("_stored_at"):
+            _kept.get(table.sparkSession, set()).discard(path)
+            _remove(table.sparkSession, path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, paths in _kept.items():
+        for path in paths:
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
