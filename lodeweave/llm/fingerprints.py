@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.session import stored
+from lodeweave.llm.ranking import ranked
+from lodeweave.session import dropped, stored
 
-SAMPLES = 24
+SAMPLES = 32
 _TERM = r"[\x20\x09-\x0D]+"
 
 
@@ -45,20 +46,21 @@ def terms(text: Column) -> Column:
     return F.zip_with(hashed, F.slice(before, 1, F.size(hashed)), lambda w, p: F.xxhash64(p, w))
 
 
-def signatures(texts: DataFrame, keys: list[str], kinds: int, samples: int = SAMPLES) -> DataFrame:
-    """texts (keys, kind, text) to keys and signature0, signature1, ...: samples doubles for each kind of text of a row.
+def signatures(texts: DataFrame, keys: list[str], kinds: int, samples: int = SAMPLES, carried: list[str] = ()) -> DataFrame:
+    """texts (keys, kind, text, carried numbers) to keys, carried and signature0, signature1, ...: samples doubles for each kind of text of a row.
 
     Terms weigh as often as they occur; one draw serves all kinds of a row. When texts is already dealt by
-    one of the keys, neither aggregation moves a row. A kind without a term has no signature.
+    some of the keys, neither aggregation moves a row. A kind without a term has no signature. Of a carried
+    number the largest among a row's kinds stays.
     """
-    each = texts.select(*keys, "kind", F.explode(terms(F.col("text"))).alias("term"))
-    counts = each.groupBy(*keys, "term").agg(*(F.count_if(F.col("kind") == j).alias(f"w{j}") for j in range(kinds)))
+    each = texts.select(*keys, "kind", *carried, F.explode_outer(terms(F.col("text"))).alias("term"))
+    counts = each.groupBy(*keys, "term").agg(*(F.count_if((F.col("kind") == j) & F.col("term").isNotNull()).alias(f"w{j}") for j in range(kinds)), *(F.max(c).alias(c) for c in carried))
     least = []
     for i in range(samples):
         drawn = sample(F.col("term"), i)
         least += [F.min(weighed(drawn, F.col(f"w{j}"))).alias(f"s{j}_{i}") for j in range(kinds)]
-    made = counts.groupBy(*keys).agg(*least)
-    return made.select(*keys, *(F.when(F.col(f"s{j}_0").isNotNull(), F.array(*(f"s{j}_{i}" for i in range(samples)))).alias(f"signature{j}") for j in range(kinds)))
+    made = counts.groupBy(*keys).agg(*least, *(F.max(c).alias(c) for c in carried))
+    return made.select(*keys, *carried, *(F.when(F.col(f"s{j}_0").isNotNull(), F.array(*(f"s{j}_{i}" for i in range(samples)))).alias(f"signature{j}") for j in range(kinds)))
 
 
 def as_string(signature: Column) -> Column:
@@ -74,71 +76,71 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(same / F.lit(float(samples)))
 
 
-def cuts(docs: DataFrame, blocks: int) -> list:
-    """At most blocks - 1 ids that part the documents into blocks of about equal number."""
-    at = [(i + 1) / blocks for i in range(blocks - 1)]
-    got = docs.agg(F.percentile_approx("doc_id", at, 10_000).alias("c")).first()["c"] if at else None
-    return sorted(set(got or []))
+_KEY, _NEXT = ["k1", "k2"], ["next1", "next2"]
 
 
-def _block(low: list) -> Column:
-    """Number of cuts that are at most doc_id, by halving; -1 for a null id."""
+def followed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as one row of numbers each: doc_id, n_chars, k1 and k2 (the row's identity), next1 and next2 (the next row's), last (whether a different row follows).
 
-    def find(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(low[mid]), find(lo, mid)).otherwise(find(mid + 1, hi))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(find(0, len(low)))
-
-
-def neighbours(docs: DataFrame, blocks: int) -> DataFrame:
-    """docs (doc_id, text) as block, row, doc_id, text, next_text, to_block and to_row (the next one's place).
-
-    The order is by descending doc_id, and the first follows the last. Documents are dealt once, by blocks
-    of ids; each block also gets the first text of the block that follows it, found by an aggregate of one
-    row a block. Null ids come last; rows that repeat a doc_id follow each other by their text's hash.
+    The order is by descending doc_id, null ids last, and the first follows the last. Rows that repeat a
+    doc_id follow each other by hash; equal rows have one identity. Texts do not move.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(1), "doc_id").alias("k2"), F.lit(0).alias("all"))
+    rows = stored(rows, "rows")
+    placed = stored(ranked(rows, ["all"], [F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2")]), "order")
+    dropped(rows)
+    n = placed.count()
+    nexts = placed.select(F.when(F.col("rank") == 1, n).otherwise(F.col("rank") - 1).alias("rank"), F.col("k1").alias("next1"), F.col("k2").alias("next2"))
+    other = (F.col("k1") != F.col("next1")) | (F.col("k2") != F.col("next2"))
+    out = stored(placed.join(nexts, "rank").select("doc_id", "n_chars", *_KEY, *_NEXT, other.alias("last")), "followed")
+    dropped(placed)
+    return out
+
+
+def edited(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each different pair of a row and the next: k1, k2, last, text and edited, the row's text with its second half replaced.
+
+    Texts move once, to their identity, as do those beginnings of next texts that are asked for, to the
+    identity of the row that asks; no row waits for a whole next text.
     """
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _block(cuts(docs, blocks)).alias("block"))
-    first = F.struct("doc_id", F.bitwise_not(F.xxhash64("text")).alias("h"))
-    heads = stored(dealt.groupBy("block").agg(F.max_by("text", first).alias("text")), "heads")
-    order = Window.partitionBy("one").orderBy(F.col("block").desc())
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    names = heads.select("block", F.lit(1).alias("one")).select("block", F.coalesce(F.lead("block").over(order), F.first("block").over(whole)).alias("after"))
-    tails = names.join(heads.withColumnRenamed("block", "after"), "after").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "block", "after")
-    both = dealt.withColumn("after", F.lit(None).cast("int")).unionByName(tails).repartition(max(2, blocks // 2), "block")
-    within = Window.partitionBy("block").orderBy(F.col("after").isNotNull(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    both = both.withColumns({"row": F.row_number().over(within), "next_text": F.lead("text").over(within), "to": F.lead("after").over(within)})
-    to_row = F.when(F.col("to").isNull(), F.col("row") + 1).otherwise(1)
-    return both.filter("after is null").select("block", "row", "doc_id", "text", "next_text", F.coalesce("to", "block").alias("to_block"), to_row.alias("to_row"))
-
-
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = None) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select(F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(1), "doc_id").alias("k2"), text.alias("text"))
+    # a fixed number of parts: by bytes they would be few, for the work that each byte takes
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = whole.repartition(parts, *_KEY).groupBy(*_KEY).agg(F.any_value("text").alias("text"))  # equal rows are worked on once
+    asked = edges.groupBy(*_KEY, *_NEXT, "last").agg(F.floor(F.any_value("n_chars") / 2).cast("int").alias("half"))
+    asked = asked.select(F.col("k1").alias("from1"), F.col("k2").alias("from2"), F.col("next1").alias("k1"), F.col("next2").alias("k2"), "last", "half")
+    heads = whole.join(asked, _KEY).select(F.col("from1").alias("k1"), F.col("from2").alias("k2"), "last", "half", F.substr("text", F.lit(1), F.col("half")).alias("head"))
+    both = whole.join(heads.hint("merge"), _KEY)  # texts are never broadcast, whatever their estimate
+    kept = F.substr("text", F.lit(1), F.char_length("text") - F.col("half"))
+    return both.select(*_KEY, "last", "text", F.concat(kept, "head").alias("edited"))
+
+
+def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each text and its edited text: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next document's
-    first, or all of them. Texts move once, to their block of neighbouring ids; words, weights and samples
-    are then made and aggregated where the text is. A null text counts as empty, an empty text has the
+    first, or all of them. Words, weights and samples are made and aggregated where a text has moved to,
+    and its digest is carried along as four numbers. A null text counts as empty, an empty text has the
     fingerprint "" and is like an empty one only. A single document follows itself. Rows that repeat a
     doc_id each give a row. An empty table gives an empty result; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    # small blocks: a task counts the words of a few hundred documents at a time
-    blocks = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 16)
-    rows = neighbours(docs.select("doc_id", "text"), blocks)
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = rows.select("block", "row", "doc_id", "text", edited.alias("edited"), "to_block", "to_row")
-    both = rows.select("block", "row", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t")).select("block", "row", "t.*")
-    made = signatures(both, ["block", "row"], 2, samples)
-    own = stored(made.select("block", "row", as_string(F.col("signature0")).alias("p"), as_string(F.col("signature1")).alias("e")), "signatures")
-    base = rows.select("block", "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "to_block", "to_row")
-    nexts = own.select(F.col("block").alias("to_block"), F.col("row").alias("to_row"), F.col("p").alias("q"))
-    out = base.join(own, ["block", "row"], "left").join(nexts, ["to_block", "to_row"], "left")
-    p, e, q = (F.coalesce(x, F.lit("")) for x in ("p", "e", "q"))
-    return out.select("doc_id", "n_chars", "edited_sha256", p.alias("fingerprint"), e.alias("edited_fingerprint"), likeness(p, e, samples).alias("near_edited"), likeness(p, q, samples).alias("near_next"))
+    docs = docs.select("doc_id", "text")
+    edges = followed(docs)
+    digest = [f"d{i}" for i in range(4)]
+    sha = F.sha2(F.encode("edited", "UTF-8"), 256)
+    rows = edited(docs, edges).select(*_KEY, "last", "text", "edited", sha.alias("sha"))
+    none = [F.lit(None).cast("long").alias(d) for d in digest]
+    parts = [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(d) for i, d in enumerate(digest)]
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), "text", *none), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"), *parts))
+    both = rows.select(*_KEY, "last", F.explode(kinds).alias("t")).select(*_KEY, "last", "t.*")
+    made = signatures(both, [*_KEY, "last"], 2, samples, digest)
+    sha = F.lower(F.concat(*(F.lpad(F.hex(d), 16, "0") for d in digest)))
+    own = stored(made.select(*_KEY, "last", sha.alias("edited_sha256"), as_string(F.col("signature0")).alias("p"), as_string(F.col("signature1")).alias("e")), "signatures")
+    nexts = own.groupBy(F.col("k1").alias("next1"), F.col("k2").alias("next2")).agg(F.any_value("p").alias("q"))
+    out = edges.join(own, [*_KEY, "last"]).join(nexts, _NEXT)
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("p").alias("fingerprint"), F.col("e").alias("edited_fingerprint"), likeness(F.col("p"), F.col("e"), samples).alias("near_edited"), likeness(F.col("p"), F.col("q"), samples).alias("near_next"))
 
 
 def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
