@@ -15,13 +15,16 @@ from lodeweave.llm.shingles import mix, shingle_sets, texts_of
 from lodeweave.session import stored
 
 #: One in so many documents tells which shingles are frequent, and how many of those the order of columns uses.
-SAMPLED, FREQUENT = 64, 200_000
+SAMPLED, FREQUENT = 16, 200_000
 #: Pairs and ids are broadcast up to this many rows, and else shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rounds of pivot rows at most, ended where blocks hold this many pairs a row or fewer; then all pairs that no link joins meet.
 PIVOTS, PAIRS = 3, 2
 #: A set's sketch counts its shingles in so many ranges of their hashes, a byte each.
 RANGES = 256
+#: Which of the ranges a set has once, and which twice, in longs that the product looks at before it makes a pair.
+LEVELS = 2
+BITS = [f"bits{i}" for i in range(LEVELS * RANGES // 64)]
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -43,7 +46,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), key1 and key2 (the set's identity), prefix (the first columns of its row), sketch.
+    """doc_id, n (size of the set), key1 and key2 (the set's identity), prefix (the first columns of its row), sketch, bits.
 
     Two sets of n and m >= n shingles that link share one of their first n - ceil(percent n / 100) + 1
     columns in any common order of columns.
@@ -62,6 +65,7 @@ def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                     keys = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
                 spread = np.bincount(owner * RANGES + (mix(made) % np.uint64(RANGES)).astype(np.int64), minlength=(high - low) * RANGES)
                 sketch = np.minimum(spread, 255).astype(np.uint8).reshape(-1, RANGES)
+                bits = np.hstack([np.packbits(sketch > k, axis=1).view(np.int64) for k in range(LEVELS)])
                 rank = np.zeros(len(made), np.int64)  # 0: not frequent
                 if len(by_value):
                     i = np.minimum(np.searchsorted(by_value, made), len(by_value) - 1)
@@ -74,9 +78,9 @@ def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                 keep = np.arange(len(made)) - at[owner] < first[owner]
                 kept = made[order][keep]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, first))]).astype(np.int32)), pa.array(kept.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n", "key1", "key2", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary()), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=["doc_id", "n", "key1", "key2", "prefix", "sketch", *BITS])
 
-    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n long, key1 long, key2 long, prefix array<long>, sketch binary")
+    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n long, key1 long, key2 long, prefix array<long>, sketch binary, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def sets_of(rows: DataFrame, k: int, keys: str) -> DataFrame:
@@ -102,14 +106,20 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
+def apart(a: str, b: str) -> Column:
+    """Ranges that a's set has (once, twice) and b's has not: so many of its shingles at least are no shared ones."""
+    own = [F.bit_count(F.col(f"{a}_bits")[x].bitwiseAND(F.bitwise_not(F.col(f"{b}_bits")[x]))) for x in BITS]
+    return sum(own[1:], own[0])
+
+
 def promising(pairs: DataFrame, percent: int, every: bool) -> DataFrame:
     """The distinct pairs (a, b) that met in a block, without those that sizes and places of shared columns rule out.
 
-    Before a shared column at most the columns of the shorter beginning can be shared, from it on those of
-    the smaller rest: this holds whichever of the pair's columns were counted. Where every column was
-    (every), the count of those shared takes the place of the beginning.
+    Before a shared column at most the met columns (those that some other row has too) of the poorer
+    beginning can be shared, from it on the columns of the smaller rest: this holds whichever of the pair's
+    columns were counted. Where every column was (every), the count of those shared takes the place of the beginning.
     """
-    counted = F.count(F.lit(1)) - 1 if every else F.least(F.max("a_at"), F.max("b_at"))
+    counted = F.count(F.lit(1)) - 1 if every else F.least(F.max("a_met"), F.max("b_met"))
     total = pairs.groupBy("a", "b").agg(counted.alias("earlier"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
     most = F.col("earlier") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     return total.filter(most >= least_overlap(F.col("a_n"), F.col("b_n"), percent))
@@ -172,13 +182,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     table = stored(incidence(docs, k, percent, frequent_shingles(docs, k)), "incidence")
     identity = ["n", "key1", "key2"]
     classes = stored(table.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("rep")), "classes")
-    rows = table.select("doc_id", *identity, "prefix").join(classes.filter("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", *identity], "left_semi").dropDuplicates(["doc_id", *identity])
-    cells = rows.select("doc_id", "n", F.posexplode("prefix").alias("at", "g"))
+    rows = table.select("doc_id", *identity, "prefix", *BITS).join(classes.filter("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", *identity], "left_semi").dropDuplicates(["doc_id", *identity])
+    kinds = stored(rows.select("doc_id", "n", F.struct(*BITS).alias("bits"), "prefix"), "rows")
+    cells = kinds.select("doc_id", F.posexplode("prefix").alias("at", "g"))
     cells = stored(cells, "cells")
     blocks = cells.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    cells = stored(cells.join(blocks, "g"), "blocks")
-    central = cells.groupBy("doc_id").agg(F.sum("rows").alias("central"))
-    cells = stored(cells.drop("rows").join(central, "doc_id"), "central")
+    # a row's cells in columns that another row has too, at most its prefix: how many come before each, and how much they are shared
+    shared = cells.join(blocks, "g").groupBy("doc_id").agg(F.sum("rows").alias("central"), F.array_sort(F.collect_list(F.struct("at", "g"))).alias("c"))
+    shared = shared.join(kinds.select("doc_id", "n", "bits"), "doc_id")
+    cells = shared.select("doc_id", "n", "bits", "central", F.posexplode("c").alias("met", "c")).select("doc_id", "n", "bits", "central", "met", "c.at", "c.g")
+    cells = stored(cells, "blocks")
     links, labels, pivots = None, None, 0
     while True:
         marked = cells.withColumn("label", F.col("doc_id")) if labels is None else cells.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -187,13 +200,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         marked = stored(marked.join(mixed.select("g", "rows"), "g"), "mixed")
         most, among = marked.agg(F.sum(F.col("rows") - 1) / 2, F.count(F.lit(1))).first()
         last = pivots == PIVOTS or not among or most <= PAIRS * among
-        other = marked.select("g", "central", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
+        other = marked.select("g", "central", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("at").alias("a_at"), F.col("met").alias("a_met"), F.col("label").alias("a_label"))
         if not last:
-            lead = F.max(F.struct("central", F.xxhash64("a").alias("p"), "a", "a_n", "a_at", "a_label"))
+            lead = F.max(F.struct("central", F.xxhash64("a").alias("p"), "a", "a_n", "a_bits", "a_at", "a_met", "a_label"))
             other = other.groupBy("g").agg(lead.alias("f")).select("g", "f.*").drop("p")
-        pairs = marked.select("g", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "label").join(other.drop("central"), "g")
+        pairs = marked.select("g", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.col("at").alias("b_at"), F.col("met").alias("b_met"), "label").join(other.drop("central"), "g")
         pairs = pairs.filter("a < b" if last else "a <> b").filter(F.col("a_label") != F.col("label"))
         pairs = pairs.filter((100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n"))
+        most = F.least("a_met", "b_met") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+        pairs = pairs.filter(most >= least_overlap(F.col("a_n"), F.col("b_n"), percent))
+        pairs = pairs.filter(F.greatest(apart("a", "b") - F.col("a_n"), apart("b", "a") - F.col("b_n")) <= -least_overlap(F.col("a_n"), F.col("b_n"), percent)).drop("a_bits", "b_bits")
         # a pair whose columns pivots led in part was verified with them, so the last round counts every column of those still open
         new = stored(verified(docs, table, promising(pairs, percent, last), k, percent), "links")
         links = new if links is None else stored(links.union(new), "links")
@@ -205,7 +221,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         cells = stored(marked.drop("rows", "label").join(done, ["g", "doc_id"], "left_anti"), "central")
         pivots += 1
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*identity, F.coalesce("label", "rep").alias("label"))
-    out = table.drop("prefix", "sketch").join(found, identity, "left")
+    out = table.drop("prefix", "sketch", *BITS).join(found, identity, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
