@@ -8,49 +8,51 @@ from __future__ import annotations
 
 import numpy as np
 
-ROUNDS, STEP, RATE, KEEP = 24, 0.05, 0.12, 0.9
+ROUNDS, STEP, RATE = 12, 0.1, 0.24
+#: The program is solved again for what its rounding leaves, until that places less than this share of all pieces.
+LEAST = 0.02
 
 
 def best_fill(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: for each capacity the dearest filling's price and its last item, -1 for none."""
+    """Unbounded knapsack: for each capacity the dearest filling's price and its last item, -1 for none, -2 where one token stays free."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    worth, item = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, dtype=np.int64)
+    worth[lengths], item[lengths] = prices, np.arange(len(lengths))
+    turned = np.zeros(capacity + 1)  # best from the end, so that both operands of a sum run forward
     for c in range(1, capacity + 1):
-        k = fits[c]
-        best[c], last[c] = best[c - 1], -2  # -2: one token stays free
-        if k:
-            value = best[c - lengths[:k]] + prices[:k]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], last[c] = value[i], i
+        value = worth[1 : c + 1] + turned[capacity + 1 - c :]
+        i = int(value.argmax())
+        best[c], last[c] = best[c - 1], -2
+        if value[i] > best[c]:
+            best[c], last[c] = value[i], item[i + 1]
+        turned[capacity - c] = best[c]
     return best, last
 
 
 def columns(lengths: np.ndarray, last: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each length the dearest configuration that holds it, followed until nothing more fits: length, item and how often, sorted."""
-    used = np.zeros((len(lengths), len(lengths)), np.int16 if capacity < 1 << 15 else np.int32)
-    own = np.arange(len(lengths))
-    used[own, own] = 1
+    own, n = np.arange(len(lengths)), len(lengths)
+    used = [own * n + own]
     full = np.maximum.accumulate(np.where(last != -2, np.arange(capacity + 1), 0))
     free = full[capacity - lengths]
     while len(own := own[keep := last[free] >= 0]):
         free = free[keep]
         item = last[free]
-        used[own, item] += 1
+        used.append(own * n + item)
         free = full[free - lengths[item]]
-    column, item = np.nonzero(used)
-    return column, item, used[column, item].astype(np.int64)
+    cell, times = np.unique(np.concatenate(used), return_counts=True)
+    return cell // n, cell % n, times
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1) -> dict[tuple[tuple[int, ...], tuple[int, ...]], float]:
-    """A fractional solution of the covering program: configuration (its sorted item numbers, how often each) to its multiplicity.
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A fractional solution of the covering program: multiplicities of configurations, where each one's items begin (and the last ends), the items and how often each.
 
     Multiplicative weights: each round prices configurations by the knapsack program under the present
     duals; every length's best configuration grows by a step that covers no length by more than STEP of
-    its count, and the duals of what was covered fall exponentially.
+    its count, and the duals of what was covered fall exponentially. A configuration may come up again.
     """
     rng = np.random.default_rng(seed)
-    duals, x = lengths / capacity, {}
+    duals, parts = lengths / capacity, []
     covered = np.zeros(len(lengths))
     for _ in range(ROUNDS):
         prices = duals * (1 + 0.02 * rng.random(len(lengths)))
@@ -62,29 +64,32 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 1)
         grow = STEP * share * counts
         now = np.bincount(item, weights=times * grow[column], minlength=len(lengths)) / counts
         covered += now
-        at = np.searchsorted(column, np.arange(len(lengths) + 1))
-        for j in np.flatnonzero(grow > 0):
-            key = tuple(item[at[j] : at[j + 1]].tolist()), tuple(times[at[j] : at[j + 1]].tolist())
-            x[key] = x.get(key, 0.0) + grow[j]
+        parts.append((grow, np.bincount(column, minlength=len(lengths)), item, times))
         duals *= np.exp(-RATE * (now / STEP - (now / STEP).mean()))
         duals = np.clip(duals, 0.25 * lengths / capacity, 4 * lengths / capacity)
+    value, size, item, times = (np.concatenate(p) for p in zip(*parts))
     scale = (counts * lengths).sum() / max(1e-9, (covered * counts * lengths).sum())
-    return {k: v * scale for k, v in x.items()}
+    return value * scale, np.concatenate([[0], np.cumsum(size)]), item, times
 
 
-def rounded(x: dict[tuple[tuple[int, ...], tuple[int, ...]], float], lengths: np.ndarray, counts: np.ndarray, seed: int = 2) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
-    """Whole multiplicities that overfill no count, and what stays uncovered."""
+def rounded(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], lengths: np.ndarray, counts: np.ndarray, seed: int = 2) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """Whole multiplicities that overfill no count, and what stays uncovered.
+
+    Systematic rounding: along the configurations one is taken whenever the running sum of multiplicities
+    passes the next whole number plus a random start, so that as many are taken as the solution has, and
+    each as often as its multiplicity says, to within one. A taken configuration for which too few pieces
+    are left stays away; the program is solved again for what is uncovered.
+    """
+    value, at, item, times = x
     rng = np.random.default_rng(seed)
-    room, out = np.floor(KEEP * counts).astype(np.int64), []
-    left = counts.astype(np.int64).copy()
-    made = [(value, np.array(items), np.array(times)) for (items, times), value in sorted(x.items(), key=lambda kv: -kv[1])]
-    for more in (1, 4):  # what one rounding leaves is rounded again, at larger multiplicities
-        for value, items, times in made:
-            n = int(more * value + rng.random())
-            if n and (n := min(n, int((room[items] // times).min()))) > 0:
-                room[items] -= n * times
-                left[items] -= n * times
-                out.append((n, {int(lengths[i]): int(t) for i, t in zip(items, times)}))
+    order = rng.permutation(len(value))
+    taken = np.diff(np.floor(np.cumsum(value[order]) + rng.random()).astype(np.int64), prepend=0)
+    left, out = counts.astype(np.int64).copy(), []
+    for i, n in zip(order[taken > 0].tolist(), taken[taken > 0].tolist()):
+        own, often = item[at[i] : at[i + 1]], times[at[i] : at[i + 1]]
+        if (n := min(n, int((left[own] // often).min()))) > 0:
+            left[own] -= n * often
+            out.append((n, dict(zip(lengths[own].tolist(), often.tolist()))))
     return out, left
 
 
@@ -124,8 +129,12 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list
     return [(k, items) for groups in open_.values() for k, items in groups]
 
 
-def plan(lengths, counts, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Sequences that hold every piece once: (number of such sequences, {length: pieces of it})."""
+def plan(lengths, counts, capacity: int, told: dict | None = None) -> list[tuple[int, dict[int, int]]]:
+    """Sequences that hold every piece once: (number of such sequences, {length: pieces of it}).
+
+    told gets "program", the share of pieces shorter than capacity that stand in a configuration of the
+    program; best fit places the others, first into those configurations' free room.
+    """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     order = np.argsort(lengths)
     lengths, counts = lengths[order], counts[order]
@@ -133,5 +142,15 @@ def plan(lengths, counts, capacity: int) -> list[tuple[int, dict[int, int]]]:
     counts, lengths = counts[lengths < capacity], lengths[lengths < capacity]
     if not len(lengths):
         return out
-    whole, left = rounded(solve(lengths, counts.astype(float), capacity), lengths, counts)
+    left, whole, seed = counts.copy(), [], 1
+    while (open_ := left > 0).any():
+        got, rest = rounded(solve(lengths[open_], left[open_].astype(float), capacity, seed), lengths[open_], left[open_], seed)
+        placed = left[open_].sum() - rest.sum()
+        left[open_] = rest
+        whole += got
+        seed += 1
+        if placed < LEAST * counts.sum():
+            break
+    if told is not None:
+        told["program"] = 1 - left.sum() / counts.sum()
     return out + best_fit(lengths, left, capacity, whole)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import config_lp
-from lodeweave.llm.batches import map_batches
+from lodeweave.llm.batches import kept, map_batches, slices
 from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
 CAPACITY, END = 4096, 1
 #: Words of one generation that a worker remembers the ids of; the generation before stays, what is met again moves on.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words that are encoded together, one a line: letters of Latin-1, which lower-casing and NFC treat one by one, then ASCII marks but the apostrophe.
 _LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
@@ -126,11 +125,6 @@ def _parted(text: str) -> Iterator[str]:
         low = high
 
 
-@lru_cache(maxsize=1)
-def coder(path: str) -> WordCoder:
-    return WordCoder(path)
-
-
 def _tokenizer_path(name: str) -> str:
     if "/" in name:
         return name
@@ -150,12 +144,12 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     last = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(_tokenizer_path(tokenizer))
+        path = _tokenizer_path(tokenizer)
+        code = kept(f"coder {path}", lambda: WordCoder(path))
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                texts = (t or "" for t in part.column(1).to_pylist())
+            for part in slices(batch, 1, AT_ONCE):
+                rows, piece, start, length, crc, held = [], [], [], [], [], []
+                texts = [t or "" for t in part.column(1).to_pylist()]
                 for row, ids in enumerate(code.encode(texts)):
                     ids += last
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -166,15 +160,15 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
                         if with_ids:
-                            kept.append(np.frombuffer(own, dtype="<u4").astype(np.int64))
+                            held.append(np.frombuffer(own, dtype="<u4").astype(np.int64))
                 columns = [part.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int64())))
+                    columns.append(pa.array(held, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(docs.select("doc_id", "text"), cut, fields)
+    return map_batches(docs.select("doc_id", "text"), cut, fields, f"coder {_tokenizer_path(tokenizer)}")
 
 
 def slots(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
