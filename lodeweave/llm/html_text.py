@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeweave.llm.batches import map_batches, slices
+
 BLOCK_TAGS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg".split())
@@ -99,10 +101,10 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
 
 
 def vectors(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
-    """One row a block: its tag path, its words (hashed), and its length, links, end and place."""
+    """One row a block: its tag path, all its words (hashed), and its length, links, end and place."""
     out = np.zeros((len(page), PATH + WORDS + NUMBERS))
     for i, (text, path, links) in enumerate(page):
-        words = text[:400].lower().split()[:24]
+        words = text.lower().split()
         out[i, :PATH] = path_vector(path)
         out[i, PATH : PATH + WORDS] = _WORD[[zlib.crc32(w.encode()) % 4096 for w in words]].mean(0)
         out[i, PATH + WORDS :] = (math.log1p(len(text)) / 4 - 1, links, text[-1] in ".!?…\"»", "©" in text, i / len(page))
@@ -295,12 +297,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 500):
-                part = b.slice(low, 500)
+            for part in slices(b, 2):
                 text = main_text([h or "" for h in part.column(2).to_pylist()], sent.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(work, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), work, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
 
 
 def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
