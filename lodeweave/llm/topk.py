@@ -13,7 +13,9 @@ from lodeweave.llm.ranking import ranked
 from lodeweave.session import stored
 
 #: Pivots come from at most this many sampled vectors; an annulus holds this many rows; queries meet it in such groups.
-PIVOTS, SAMPLED, RING, GROUP = 48, 4096, 2048, 1024
+PIVOTS, SAMPLED, RING, GROUP = 48, 4096, 2048, 8192
+#: Queries of a group that are multiplied with an annulus at once.
+AT_ONCE = 512
 SCALE, K = 1024.0, 10
 
 
@@ -62,14 +64,17 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def best(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of ids for each row of scores, ties to the smaller id, never the query itself."""
-    out = []
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    for q, s in zip(query_ids, scores):
-        keep = ids != q
-        top = np.argsort(-s[keep], kind="stable")[:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": ids[keep][top], "score": s[keep][top].astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    if not len(ids) or not len(query_ids):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    scores = np.where(ids[None, :] == query_ids[:, None], -np.inf, scores)
+    least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+    q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((ids[c], -scores[q, c], q))
+    q, c = q[order], c[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < k
+    q, c = q[keep], c[keep]
+    return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": scores[q, c].astype(np.int64)})
 
 
 def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, n_pivots: int = PIVOTS) -> DataFrame:
@@ -119,8 +124,8 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, n_piv
     def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        scores = matrix(right["q"], width) @ matrix(left["x"], width).T
-        return best(right["query_id"].to_numpy(), np.rint(scores), left["vec_id"].to_numpy(), k)
+        x, q, ids, asked = matrix(left["x"], width), matrix(right["q"], width), left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+        return pd.concat([best(asked[i : i + AT_ONCE], np.rint(q[i : i + AT_ONCE] @ x.T), ids, k) for i in range(0, len(q), AT_ONCE)])
 
     def expand(pairs: DataFrame) -> DataFrame:
         """The k best of each (query_id, pivot, ring)."""
