@@ -58,7 +58,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     "place in the document less place in the template". A phrase stands where its diagonal has all votes.
     Diagonals of one template within NEAR of each other are merged; the merged passage is verified if it
     covers COVER of the template's 2-grams within STRETCH times its length, and then gives its label and
-    span (first word, end). score is the best coverage, 0 without a label.
+    span (first word, end). A place of the template counts once, however often its 2-gram comes in the
+    passage. score is the best coverage, 0 without a label.
 
     The templates are broadcast: their number is that of this module's table. A document also keeps one
     row of its own, so that texts without a match, null and empty ones (n_words 0, no labels) stay.
@@ -69,11 +70,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     each = own.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(grams(F.col("w"))).alias("pos", "gram"))
     hit = each.join(F.broadcast(table), "gram", "left").filter("template is not null or pos = 0 or pos is null")
     votes = hit.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", (F.col("pos") - F.col("at")).alias("diagonal"))
-    votes = votes.agg(F.count("at").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    votes = votes.agg(F.array_sort(F.collect_set("at")).alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.col("base") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR)
     runs = votes.withColumn("run", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(order))
-    runs = runs.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = runs.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
     stands = F.when(F.col("base"), F.col("votes") == F.col("size")).otherwise((cover >= COVER) & (F.col("high") - F.col("low") + 2 <= STRETCH * (F.col("size") + 1)))
     stands = F.coalesce(stands, F.lit(False))
