@@ -12,13 +12,19 @@ from lodeweave.session import stored
 TURNS = 512
 
 
+def named(role):
+    """A role as it stands in a mark: with nothing that could end or forge one."""
+    return F.translate(F.replace(F.replace(role, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), "\n\r", "  ")
+
+
 def rotate(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     """Each part of each conversation, once for every participant of the whole conversation.
 
     A participant's parts in order make up their rendering of all turns. Returns conv_id, part (from 0, of turns turns), speaker, n_turns, n_masked, text and masks. text has
     the speaker's turns as <|assistant|>, the others' as <|user name=...|> and those of the role system as
     <|system|>; masks ("start:end", code points of the whole rendering, comma-joined) holds the spans to
-    be learned: the speaker's words and end marks, none in a part where they say nothing. "<|" inside a turn becomes "< |", so that no turn can forge a mark.
+    be learned: the speaker's words and end marks, none in a part where they say nothing. "<|" inside a turn or a role becomes "< |", "|>" and line ends
+    inside a role become "| >" and spaces, so that neither can forge a mark.
 
     Turns go by turn, role and text, null turns first. A null role is the participant "", a null text is
     empty, null conv_ids are one conversation. Conversations of system turns alone have no participant
@@ -43,15 +49,15 @@ def rotate(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     views = speakers.join(last, ["none", "conv"]).select("none", "conv", "speaker", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
 
     def head(role):
-        user = F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
+        user = F.concat(F.lit("<|user name="), named(role), F.lit("|>\n"))
         return F.when(role == F.col("speaker"), F.lit("<|assistant|>\n")).when(role == "system", F.lit("<|system|>\n")).otherwise(user)
 
     # a turn's code points do not depend on the view but for the head of the speaker's own
-    chars = F.char_length(F.concat(F.when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n"))), "words", F.lit("<|end|>\n")))
+    chars = F.char_length(F.concat(F.when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), named(F.col("role")), F.lit("|>\n"))), "words", F.lit("<|end|>\n")))
     by_role = stored(rows.groupBy(*keys, "role").agg(F.sum(chars).alias("chars"), F.count(F.lit(1)).alias("own")), "lengths")
     whole = by_role.groupBy(*keys).agg(F.sum("chars").alias("chars"))
     own = by_role.select(*keys, F.col("role").alias("speaker"), "own")
-    less = F.coalesce("own", F.lit(0)) * F.char_length(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+    less = F.coalesce("own", F.lit(0)) * F.char_length(F.concat(F.lit("<|user name="), named(F.col("speaker")), F.lit("|>\n")))
     more = F.coalesce("own", F.lit(0)) * F.char_length(F.lit("<|assistant|>\n"))
     views = views.join(own, [*keys, "speaker"], "left").join(whole, keys).withColumn("size", F.col("chars") - less + more)
     earlier = Window.partitionBy("none", "conv", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,19 +95,18 @@ WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS words,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), replace(coalesce(text, ''), '<|', '< |')) - 1 AS rn
   FROM conversations),
-p AS (SELECT *, CAST(rn // 512 AS INTEGER) AS part FROM t),
-s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM p WHERE role <> 'system'),
+s AS (SELECT conv_id, role AS speaker, row_number() OVER () AS view FROM (SELECT DISTINCT conv_id, role FROM t WHERE role <> 'system')),
 r AS (
-  SELECT p.conv_id, p.part, s.speaker, p.rn, p.role = s.speaker AS own,
-         CASE WHEN p.role = s.speaker THEN '<|assistant|>' || chr(10) WHEN p.role = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || p.role || '|>' || chr(10) END AS head,
-         p.words || '<|end|>' AS body
-  FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.part = s.part),
-o AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY rn) - length(body) - 1 AS low FROM r)
-SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_masked,
+  SELECT t.conv_id, s.speaker, s.view, t.rn, t.role = s.speaker AS own,
+         CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10) WHEN t.role = 'system' THEN '<|system|>' || chr(10)
+              ELSE '<|user name=' || translate(replace(replace(t.role, '<|', '< |'), '|>', '| >'), chr(10) || chr(13), '  ') || '|>' || chr(10) END AS head,
+         t.words || '<|end|>' AS body
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY view ORDER BY rn) - length(body) - 1 AS low FROM r)
+-- a rendering is stored in parts of so many turns; its masks count from its own start
+SELECT conv_id, CAST(rn // {turns} AS INTEGER) AS part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_masked,
        CAST(sum(length(head) + length(body) + 1) AS BIGINT) AS n_chars,
        sha256(string_agg(head || body || chr(10), '' ORDER BY rn)) AS text_sha256,
-       string_agg(CAST(low AS BIGINT) || ':' || CAST(low + length(body) AS BIGINT), ',' ORDER BY rn) FILTER (own) AS masks
-FROM o GROUP BY conv_id, part, speaker
-"""
+       coalesce(string_agg(CAST(low AS BIGINT) || ':' || CAST(low + length(body) AS BIGINT), ',' ORDER BY rn) FILTER (own), '') AS masks
+FROM o GROUP BY conv_id, rn // {turns}, speaker, view
+""".replace("{turns}", str(TURNS))
