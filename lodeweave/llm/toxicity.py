@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.batches import map_batches
+from lodeweave.llm.batches import map_batches, slices
 from lodeweave.llm.crf import Crf, padded
 
 #: Labelled documents that the model is fitted on, at most: toxic ones and others.
@@ -50,12 +50,23 @@ class Factors(dict):
         return got
 
 
+def tokens(text: str) -> list[str]:
+    """The words of text in lower case, one for each WORD of text itself."""
+    low = text.lower()
+    if len(low) == len(text):
+        return WORD.findall(low)
+    return [w.lower() for w in WORD.findall(text)]  # a letter that becomes several must not part its word
+
+
 class Model:
-    """Clues with their odds, the field over them, and the score's coefficients."""
+    """Clues with their odds, the field over them, and the score's coefficients.
+
+    Without a labelled toxic and a labelled other document nothing tells them apart: every score is 0.
+    """
 
     def __init__(self, texts: list[str], toxic: list[int], seed: int = 3):
         have: tuple[Counter, Counter] = (Counter(), Counter())
-        words = [WORD.findall((t or "").lower()) for t in texts]
+        words = [tokens(t or "") for t in texts]
         for own, y in zip(words, toxic):
             have[y].update({c for w in set(own) for c in clues(w)})
         n = [max(1, toxic.count(y)) for y in (0, 1)]
@@ -94,6 +105,7 @@ class Model:
         rest = self.before * self.after
         self.floor = rest / (1 + rest)
         x = np.array([self.evidence(w)[0] for w in words]) if words else np.zeros((0, 3))
+        self.usable = 0 < sum(toxic) < len(toxic)
         self.scale = logistic(np.hstack([x, np.ones((len(x), 1))]), np.array(toxic, dtype=float)).tolist()
 
     @staticmethod
@@ -155,15 +167,16 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
         """The document's score and its offending offsets, in code points."""
-        low = text.lower()
-        own = WORD.findall(low)
+        if not self.usable:
+            return 0.0, []
+        own = tokens(text)
         x, toxic = self.evidence(own)
         z = sum(w * v for w, v in zip(self.scale, [*x, 1.0]))
         value = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         if not toxic:
             return value, []
         at = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        return value, [at[i] for i in toxic] if len(at) == len(own) else []
+        return value, [at[i] for i in toxic]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -177,7 +190,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
-    """The model from at most toxic_rows + other_rows labelled documents outside the held-out fold, chosen by a hash of their id."""
+    """The model from at most toxic_rows + other_rows labelled documents outside the held-out fold, chosen by a hash of their id.
+
+    Labels that are null or neither 0 nor 1, of a null id or of no document count for nothing; of several
+    labels of one document the largest holds, of several texts any one. Null texts count as empty.
+    """
     spark = docs.sparkSession
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -200,8 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in slices(batch, 1):
                 got = [own.score(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([",".join(f"{a}:{b}" for a, b in x) for _, x in got], pa.string())], names=["doc_id", "score", "spans"])
 
@@ -209,14 +225,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores below threshold, as they are."""
+    """The rows of docs whose text scores below threshold, as they are.
+
+    Null and empty texts have the score of no words; repeated rows and rows without an id are judged each.
+    A model without usable labels keeps every row; an empty table stays empty.
+    """
     at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in slices(batch, at):
                 yield part.filter(pa.array([own.score(t or "")[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
     return map_batches(docs, work, docs.schema)
