@@ -5,22 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Function words that carry no topic.
+#: Words that are no token of any analyzer.
 STOPWORDS = (
-    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did "
-    "will would could should may might this that these those it its we you they he she i"
+    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will would "
+    "could should may might this that these those it its as not no so if then than more"
+).split()
+#: Further words that the English analyzer leaves out.
+ENGLISH = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself they them "
+    "their theirs themselves what which who whom am about against between into through during before after above below up down "
+    "out off over under again further once here there when where why how all any both each few most other some such nor only own "
+    "same too very can just now also onto upon via"
 ).split()
 #: Words of a query that name a kind of document.
-DOC_TYPES = ("adr", "api", "decision", "design", "guide", "incident", "meeting", "note", "policy", "postmortem", "rfc", "runbook", "spec")
-GRAPH_CUES = (r"\bwho\b", r"\bowns?\b", r"\brelat", r"\bconnect", r"\bdepend", r"\bbetween\b")
-LEXICAL_CUES = (r"\bhow to\b", r"\bwhat is\b", r"\bexplain", r"\bguide\b", r"\bexample", r"\berror\b")
-
-
-def tokens(text: Column) -> Column:
+DOC_TYPES = ("meeting", "decision", "adr", "incident", "note", "standup", "retro", "review", "report", "proposal", "rfc", "spec", "postmortem")
+#: Patterns of queries that ask for facts, and of those that ask for prose.
+GRAPH_CUES = (
+    r"\b(who is|who are|who was|who were)\b",
+    r"\b(what is|what are|what was|what were)\b.{0,40}\b(role|position|title|status|owner|lead)\b",
+    r"\b(when did|when was|when is|when were)\b",
+    r"\b(where is|where was|where does|where did)\b",
+    r"\b(list|enumerate|show).{0,20}\b(all|every|each)\b",
+    r"\b(relationship|connection|link|association).{0,20}\bbetween\b",
+    r"\bfacts?\b.{0,20}\babout\b",
+    r"\btell me about\b",
+    r"\bwhat.{0,20}\bknow.{0,20}\babout\b",
+    r"\b(owned by|managed by|led by|created by|built by|reported to)\b",
+    r"\bwho\b.{0,30}\b(owns|manages|leads|created|built|reports to)\b",
+    r"\b(timeline|history|record|log)\b.{0,20}\bof\b",
+)
+LEXICAL_CUES = (
+    r"\b(how does|how do|how to|how can|how should|how would)\b",
+    r"\b(explain|describe|summarize|overview|walkthrough|elaborate)\b",
+    r"\b(process|procedure|workflow|pipeline|steps?|guide|tutorial)\b",
+    r"\b(what happened|incident|outage|failure|error|bug)\b",
+    r"\b(difference between|compare|versus|vs\.?|contrast)\b",
+    r"\b(why|reason|cause|because)\b",
+    r"\b(example|sample|instance|demo|illustration)\b",
+    r"\brecent(ly)?\b",
+    r"\b(architecture|design|structure|pattern)\b",
+    r"\b(document|note|file|page|article)\b.{0,20}\babout\b",
+)
+
+
+def tokens(text: Column, english: bool = False) -> Column:
     """Lower-case runs of letters, digits and underscores, without stop words and single characters."""
-    stop = F.array(*map(F.lit, STOPWORDS))
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
-    return F.filter(parts, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    stop = STOPWORDS + ENGLISH if english else STOPWORDS
+    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(*stop))
 
 
 def n_words(text: Column) -> Column:
@@ -45,15 +77,17 @@ def surface_entities(text: Column, most: int = 20) -> Column:
 
 
 def query_entities(text: Column) -> Column:
-    """Capitalised words, then tokens of more than four letters."""
+    """Quoted phrases, double before single quotes, then capitalised words, then tokens of more than four letters."""
+    quoted = F.concat(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit("'([^']+)'"), F.lit(1)))
     names = F.filter(_whole_words(text), lambda w: w.rlike("^[A-Z][a-zA-Z]{2,}$"))
-    return F.array_distinct(F.concat(names, F.filter(tokens(text), lambda t: F.length(t) > 4)))
+    return F.array_distinct(F.concat(quoted, names, F.filter(tokens(text), lambda t: F.length(t) > 4)))
 
 
 def links(text: Column) -> Column:
-    """Targets of wiki links, then of Markdown links, duplicates kept."""
+    """Targets of wiki links, then of Markdown links, trimmed, duplicates kept."""
     wiki = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))
-    return F.concat(wiki, F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)#]+)\)"), F.lit(1)))
+    every = F.concat(wiki, F.regexp_extract_all(text, F.lit(r"\[(?:[^\]]+)\]\(([^)#)]+)\)"), F.lit(1)))
+    return F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def intent(text: Column) -> Column:
@@ -64,16 +98,102 @@ def intent(text: Column) -> Column:
 
 
 def date_range(text: Column) -> tuple[Column, Column]:
-    """First and last day that a query's quarter or year names, as ISO strings."""
-    quarter, q_year = F.regexp_extract(text, r"Q([1-4])\s+(\d{4})", 1), F.regexp_extract(text, r"Q([1-4])\s+(\d{4})", 2)
-    year = F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1)
+    """First and last day that a query's quarter or year names, as ISO strings; a quarter ends on day 31 whatever its month."""
+    named = r"(?i)\bQ([1-4])\s*(\d{4})\b"
+    quarter, q_year = F.regexp_extract(text, named, 1), F.regexp_extract(text, named, 2)
+    number = F.regexp_extract(text, r"\b(\d{4})\b", 1)  # only the first number of four digits counts
+    year = F.when(number.try_cast("int").between(1990, 2099), number)
     first = F.lpad(((quarter.try_cast("int") - 1) * 3 + 1).cast("string"), 2, "0")
     last = F.lpad((quarter.try_cast("int") * 3).cast("string"), 2, "0")
-    low = F.when(quarter != "", F.concat(q_year, F.lit("-"), first, F.lit("-01"))).when(year != "", F.concat(year, F.lit("-01-01")))
-    high = F.when(quarter != "", F.concat(q_year, F.lit("-"), last, F.lit("-31"))).when(year != "", F.concat(year, F.lit("-12-31")))
+    low = F.when(quarter != "", F.concat(q_year, F.lit("-"), first, F.lit("-01"))).when(year.isNotNull(), F.concat(year, F.lit("-01-01")))
+    high = F.when(quarter != "", F.concat(q_year, F.lit("-"), last, F.lit("-31"))).when(year.isNotNull(), F.concat(year, F.lit("-12-31")))
     return low, high
 
 
+def query_tags(text: Column) -> Column:
+    """Tags that a query names: #tag, tagged tag, about a word of four letters or more; lower case, in that order."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"#(\w+)", r"(?i)\btagged\s+(\w+)", r"(?i)\babout\s+(\w{4,})\b")]
+    return F.transform(F.concat(*found), lambda t: F.lower(t))
+
+
+def query_type(text: Column) -> Column:
+    """The kind of document that a query names first; null without one."""
+    low = F.lower(text)
+    at = [F.struct(F.char_length(F.regexp_extract(low, rf"(?s)^(.*?)\b{t}\b", 1)).alias("at"), F.lit(t).alias("name")) for t in DOC_TYPES]
+    named = F.array(*(F.when(low.rlike(rf"\b{t}\b"), s) for t, s in zip(DOC_TYPES, at)))
+    return F.array_min(F.filter(named, lambda x: x.isNotNull()))["name"]
+
+
+def tag_set(raw: Column) -> Column:
+    """Tags of a front matter value (a, b or [a, b] or #a #b) in lower case, each once."""
+    items = F.split(F.regexp_replace(F.trim(raw), r"^[\[\]]+|[\[\]]+$", ""), r"[,\s]+")
+    bare = F.transform(items, lambda t: F.lower(F.regexp_replace(t, r"""^['"#]+|['"#]+$""", "")))
+    return F.coalesce(F.array_distinct(F.filter(bare, lambda t: t != "")), F.array().cast("array<string>"))
+
+
+def tag_overlap(doc_tags: Column, asked: Column) -> Column:
+    """Share of the asked tags that a document's tag field holds; 0 without either."""
+    have = F.split(F.lower(doc_tags), r"[\s,;]+")
+    hits = F.size(F.filter(asked, lambda t: F.array_contains(have, t)))
+    return F.when((F.coalesce(doc_tags, F.lit("")) == "") | (F.size(asked) == 0), 0.0).otherwise(hits / F.size(asked))
+
+
+def iso_date(value: Column) -> Column:
+    """The ISO date that a value begins with, of year, month or day precision; null without one."""
+    bare = F.regexp_replace(F.trim(value), r"""^['"]+|['"]+$""", "")
+    found = F.regexp_extract(bare, r"^(\d{4}(-\d{2}(-\d{2})?)?)", 1)
+    return F.when(found != "", found)
+
+
+def document_date(value: Column) -> Column:
+    """The day that a value begins with (YYYY-MM-DD or YYYY/MM/DD); null where there is none or it does not exist."""
+    bare = F.regexp_replace(F.trim(value), r"""^['"]+|['"]+$""", "")
+    year, month, day = (F.regexp_extract(bare, r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})", g) for g in (1, 3, 4))
+    return F.when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))).try_cast("date")
+
+
+#: Numbers in words, days of a unit of time and how far about it a reference reaches.
+NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "a couple of": 2, "couple of": 2, "a few": 3, "few": 3}
+UNITS = {"day": 1, "week": 7, "month": 30, "year": 365}
+REACH = {"day": 1, "week": 3, "month": 10, "year": 45}
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+#: Windows of more days are none.
+WIDEST = 45
+
+
+def time_windows(text: Column, reference: Column) -> Column:
+    """Windows (low, high) of days that a query's points in time name, seen from reference; both ends belong to them."""
+
+    def looked_up(values: dict[str, int], key: Column) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+    def days(centre: Column, before: Column, after: Column) -> Column:
+        return F.struct(F.date_sub(centre, before.cast("int")).alias("low"), F.date_add(centre, after.cast("int")).alias("high"))
+
+    def found(pattern: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
+
+    ago = r"\b(\d+|a couple of|couple of|a few|few|an|a|one|two|three|four|five|six|seven|eight|nine|ten)\s+(day|week|month|year)s?\s+ago\b"
+    named = F.zip_with(found(ago, 1), found(ago, 2), lambda n, u: F.struct(F.coalesce(looked_up(NUMBERS, n), n.try_cast("int")).alias("n"), u.alias("u")))
+    named = F.filter(named, lambda x: x["n"].isNotNull() & (x["n"] < 700_000))
+
+    def about(x: Column) -> Column:
+        reach = looked_up(REACH, x["u"])
+        wide = F.least(reach * F.when(x["u"] == "day", 1).otherwise(x["n"]), 2 * reach)
+        return days(F.date_sub(reference, (x["n"] * looked_up(UNITS, x["u"])).cast("int")), wide, wide)
+
+    def last(day: Column) -> Column:  # the latest such day before reference
+        back = F.pmod(F.weekday(reference) - day, F.lit(7))
+        return F.date_sub(reference, F.when(back == 0, 7).otherwise(back))
+
+    weekday = F.transform(found(r"\blast\s+(" + "|".join(WEEKDAYS) + r")\b", 1), lambda d: days(last(F.array_position(F.array(*map(F.lit, WEEKDAYS)), d).cast("int") - 1), F.lit(1), F.lit(1)))
+    low = F.lower(text)
+    once = [(r"\byesterday\b", days(reference, F.lit(2), F.lit(0))), (r"\blast\s+weekend\b", days(last(F.lit(5)), F.lit(1), F.lit(2))), (r"\blast\s+week\b", days(reference, F.lit(11), F.lit(-3))), (r"\blast\s+month\b", days(reference, F.lit(45), F.lit(-15)))]
+    some = F.filter(F.array(*(F.when(low.rlike(p), w) for p, w in once)), lambda w: w.isNotNull())
+    every = F.concat(F.transform(named, about), weekday, some)
+    return F.filter(every, lambda w: F.datediff(w["high"], w["low"]) <= WIDEST)
+
+
 def windows(words: Column, size: int, overlap: int) -> Column:
     """Structs (start, content) of word windows; those that the tail covers again are kept."""
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(max(1, size - overlap)))).otherwise(F.array().cast("array<int>"))
@@ -86,8 +206,15 @@ def short_hash(*parts: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """1 for equal names, 0.85 for one inside the other, else shared words over the larger number; case is ignored."""
-    x, y = F.lower(a), F.lower(b)
-    wx, wy = F.split(x, " "), F.split(y, " ")
-    shared = F.size(F.array_intersect(wx, wy)) / F.greatest(F.size(F.array_distinct(wx)), F.size(F.array_distinct(wy)))
-    return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.85).otherwise(shared)
+    """1 for equal names, 0.85 for one inside the other, else shared words over the larger number; case and outer spaces are ignored."""
+    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
+    wx, wy = (F.array_distinct(F.filter(F.split(v, r"\s+"), lambda w: w != "")) for v in (x, y))
+    shared = F.size(F.array_intersect(wx, wy)) / F.nullif(F.greatest(F.size(wx), F.size(wy)), F.lit(0))
+    return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.85).otherwise(F.coalesce(shared, F.lit(0.0)))
+
+
+def dense_windows(words: Column, size: int = 200, stride: int = 150) -> Column:
+    """Structs (start, content) of the windows that a document is embedded by: one if it is short, and no tail that the last one covers."""
+    n = F.size(words)
+    starts = F.when(n > size, F.sequence(F.lit(0), F.greatest(F.lit(1), n - (size - stride)) - 1, F.lit(stride))).otherwise(F.array(F.lit(0)))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice(words, s + 1, size), " ").alias("content")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.functions import text as T
 from lodeweave.session import stored
 
 
@@ -43,3 +44,25 @@ def contradictions(triples: DataFrame) -> DataFrame:
     a, b = (t.select("subject", "predicate", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "object", "low", "high"))) for s in "ab")
     both = a.join(b, ["subject", "predicate"]).filter("id_a < id_b AND object_a <> object_b AND low_a <= high_b AND low_b <= high_a")
     return both.select("subject", "predicate", "id_a", "id_b", "object_a", "object_b")
+
+
+def alias_pairs(names: DataFrame, least: float = 0.75) -> DataFrame:
+    """(a, b, similarity) of all pairs of distinct names (e) with similarity of at least least, a < b.
+
+    Two word sets whose overlap is at least least of the larger share a word among the first n - ceil(least n) + 1
+    of each in any common order, here rarest words first; a name inside another has its beginning among
+    the other's runs of as many characters. No other pair is looked at, and none of these is left out.
+    """
+    low = F.trim(F.lower("e"))
+    words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: w != ""))
+    each = names.select("e", F.size(words).alias("n"), F.explode(words).alias("w"))
+    each = each.join(each.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w")
+    place = F.row_number().over(Window.partitionBy("e").orderBy("df", "w"))
+    first = each.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("e", "w")
+    pairs = first.select(F.col("e").alias("a"), "w").join(first.select(F.col("e").alias("b"), "w"), "w").filter("a < b").select("a", "b")
+    head = names.select(F.col("e").alias("x"), F.substring(low, 1, 3).alias("g")).filter("g <> ''")
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(low)))
+    runs = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substr(low, i, F.lit(k)) for k in (1, 2, 3))))))
+    inside = names.select(F.col("e").alias("y"), F.explode(runs).alias("g")).join(head, "g").filter(F.contains(F.lower("y"), F.trim(F.lower("x"))) & (F.col("x") != F.col("y")))
+    both = pairs.union(inside.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
+    return both.withColumn("similarity", F.round(T.similarity(F.col("a"), F.col("b")), 6)).filter(F.col("similarity") >= least)

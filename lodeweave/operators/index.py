@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
+from lodeweave.session import stored
 
 
 def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -31,4 +32,24 @@ def chunks(docs: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     each = docs.select("doc_id", F.explode(T.windows(words, size, overlap)).alias("c")).select("doc_id", "c.*")
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    return each.filter(F.length("content") >= 10).withColumn("chunk_id", T.short_hash(path, F.lit("body"), F.col("start").cast("string")))
+    return each.filter(F.length("content") >= 10).withColumn("chunk_id", T.short_hash(path, F.lit(""), F.col("start").cast("string")))
+
+
+#: Distinct terms of a batch of queries are broadcast up to this many.
+TERMS = 200_000
+
+
+def matched(docs: DataFrame, terms: DataFrame, key: str = "doc_id", body: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What a batch of queries needs of docs, from one pass: postings (term, key, tf, dl) of its terms alone, and their vocabulary (term, df, idf, avgdl).
+
+    Tokens of other terms are counted where they are and never shuffled one by one, so what moves is one row
+    a document and one for each of its terms that is asked for.
+    """
+    asked = stored(terms.select("term").distinct().withColumn("asked", F.lit(True)), "terms")
+    asked = F.broadcast(asked) if asked.count() <= TERMS else asked
+    each = docs.select(key, T.tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    found = each.join(asked, "term", "left").groupBy(key, "dl", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    found = stored(found, "matched")
+    stats = found.groupBy(key, "dl").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    post = found.filter("term is not null").select("term", key, "dl", "tf")
+    return post, vocabulary(post, stats)

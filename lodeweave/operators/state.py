@@ -12,13 +12,20 @@ def packed(ranked: DataFrame, budget: int, by: str = "item_id", cost: str = "tok
     return ranked.withColumn("used", F.sum(F.col(cost) + extra).over(order)).filter(F.col("used") <= budget)
 
 
-def budget_status(usage: DataFrame, by: str, order: str, tokens: str, critical: float = 4000.0) -> DataFrame:
-    """Mean of the last 20 uses and the state they give: critical, warning (over twice the mean, from five uses on) or ok."""
+def budget_status(usage: DataFrame, by: str, order: str, tokens: str, critical: float = 4000.0, rounds: int = 5) -> DataFrame:
+    """Mean of the last 20 uses and the state of each: critical from that many tokens on, else trend after so many rounds of growth, else warning at over twice the mean (from five uses on), else ok.
+
+    Growth starts anew after a critical use and after one that did not grow.
+    """
     so_far = Window.partitionBy(by).orderBy(order)
-    last = so_far.rowsBetween(-19, 0)
-    mean, n = F.avg(tokens).over(last), F.row_number().over(so_far)
-    status = F.when(F.col(tokens) >= critical, "critical").when((n >= 5) & (F.col(tokens) > 2 * mean), "warning").otherwise("ok")
-    return usage.select(by, order, F.round(mean, 6).alias("mean20"), status.alias("status"))
+    mean, n = F.avg(tokens).over(so_far.rowsBetween(-19, 0)), F.row_number().over(so_far)
+    before = F.lag(tokens).over(so_far)
+    grew = F.coalesce((F.col(tokens) < critical) & (before > 0) & (F.col(tokens) > before), F.lit(False))
+    rows = usage.select(by, order, tokens, mean.alias("mean"), n.alias("n"), grew.alias("grew"))
+    rows = rows.withColumn("spell", F.sum(F.when(F.col("grew"), 0).otherwise(1)).over(so_far))
+    growth = F.sum(F.col("grew").cast("int")).over(Window.partitionBy(by, "spell").orderBy(order))
+    status = F.when(F.col(tokens) >= critical, "critical").when(growth >= rounds, "trend").when((F.col("n") >= 5) & (F.col("mean") > 0) & (F.col(tokens) > 2 * F.col("mean")), "warning").otherwise("ok")
+    return rows.select(by, order, F.round("mean", 6).alias("mean20"), status.alias("status"))
 
 
 def quality(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:

@@ -68,9 +68,14 @@ def indexed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return post, stats, I.vocabulary(post, stats)
 
 
+def matched(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query terms, and postings and vocabulary of these alone."""
+    terms = R.query_terms(t.benchmark)
+    return terms, *I.matched(t.documents, terms)
+
+
 def bm25_scores(t: Tables, k1: float = R.K1) -> DataFrame:
-    post, _, vocab = indexed(t)
-    return R.bm25(R.query_terms(t.benchmark), post, vocab, k1)
+    return R.bm25(*matched(t), k1)
 
 
 # --- text ---
@@ -98,11 +103,6 @@ def surface_entities(t):
     return t.documents.select("doc_id", F.array_join(T.surface_entities(F.col("text")), "|").alias("entities"))
 
 
-@query(f"WITH e AS (SELECT item_id, list_concat(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z]{{2,}}')), list_filter({tok('text')}, lambda t: length(t) > 4)) AS l FROM benchmark) SELECT item_id, array_to_string({_distinct('l')}, '|') AS entities FROM e")
-def query_entities(t):
-    return t.benchmark.select("item_id", F.array_join(T.query_entities(F.col("text")), "|").alias("entities"))
-
-
 @query("""SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""")
 def page_links(t):
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
@@ -111,18 +111,11 @@ def page_links(t):
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 350)) AS start FROM w),
 x AS (SELECT doc_id, CAST(start AS INTEGER) AS start, array_to_string(w[start + 1:start + 400], ' ') AS content FROM c)
-SELECT doc_id, start, length(content) AS n_chars, substr(sha256('d' || doc_id || ':body:' || start), 1, 16) AS chunk_id FROM x WHERE length(content) >= 10""")
+SELECT doc_id, start, length(content) AS n_chars, substr(sha256('d' || doc_id || '::' || start), 1, 16) AS chunk_id FROM x WHERE length(content) >= 10""")
 def chunk_windows(t):
     return I.chunks(t.documents).select("doc_id", "start", F.char_length("content").cast("long").alias("n_chars"), "chunk_id")
 
 
-@query(f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, count(*) AS n_windows, max(start) AS last_start FROM (SELECT doc_id, unnest(range(0, len(w), 50)) AS start FROM w) GROUP BY doc_id")
-def dense_windows(t):
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    each = t.documents.select("doc_id", F.explode(T.windows(words, 200, 150)).alias("c"))
-    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("c.start").cast("long").alias("last_start"))
-
-
 _CUES = lambda cues: " + ".join(f"CAST(regexp_matches(lower(text), '{c}') AS INTEGER)" for c in cues)
 
 
@@ -131,14 +124,6 @@ def classify_intent(t):
     return t.documents.select("doc_id", T.intent(F.col("text")).alias("intent"))
 
 
-@query("""SELECT item_id, CAST(2000 + item_id % 25 AS VARCHAR) || '-' || lpad(CAST((item_id % 4) * 3 + 1 AS VARCHAR), 2, '0') || '-01' AS date_from,
-CAST(2000 + item_id % 25 AS VARCHAR) || '-' || lpad(CAST((item_id % 4) * 3 + 3 AS VARCHAR), 2, '0') || '-31' AS date_to FROM benchmark""")
-def query_date_range(t):
-    asked = F.format_string("report for Q%d %d", F.col("item_id") % 4 + 1, F.col("item_id") % 25 + 2000)
-    low, high = T.date_range(asked)
-    return t.benchmark.select("item_id", low.alias("date_from"), high.alias("date_to"))
-
-
 # --- statistics ---
 @query(f"WITH {_POST} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")
 def corpus_stats(t):
@@ -174,9 +159,8 @@ def bm25_batch(t):
 
 @query(f"WITH {_POST}, {_TERMS}, {scores_sql('s', 1.2)} SELECT doc_id, score FROM s WHERE item_id = 0 ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(t):
-    post, _, vocab = indexed(t)
     one = R.query_terms(t.benchmark.filter("item_id = 0"))
-    return R.bm25(one, post, vocab).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    return R.bm25(one, *I.matched(t.documents, one)).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"WITH {_POST}, {_TERMS}, {scores_sql('s', 1.5)} {top_sql('s', 10)}")
@@ -184,19 +168,13 @@ def rank_bm25_okapi(t):
     return R.top(bm25_scores(t, 1.5), 10)
 
 
-@query(f"WITH {_POST}, {_TERMS} SELECT item_id, doc_id, term, round(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)), 6) AS contribution FROM post JOIN qt USING (term) JOIN vocab USING (term)")
-def score_terms(t):
-    post, _, vocab = indexed(t)
-    terms = R.query_terms(t.benchmark).join(vocab.select("term", "idf", "avgdl"), "term")
-    return post.join(terms, "term").select("item_id", "doc_id", "term", F.round(R.contribution(), 6).alias("contribution"))
-
-
 _LISTS = f"{_POST}, {_TERMS}, {scores_sql('s', 1.2)}, {scores_sql('o', 1.5)}, a AS ({top_sql('s', 100)}), b AS ({top_sql('o', 100)})"
 
 
 @query(f"WITH {_LISTS}, f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT item_id, doc_id, 0.3::DOUBLE / (60 + rank) FROM b) GROUP BY ALL) {top_sql('f', 10)}")
 def rrf_weighted(t):
-    return R.fuse([(R.top(bm25_scores(t), 100), 1.0), (R.top(bm25_scores(t, 1.5), 100), 0.3)], 10)
+    found = matched(t)
+    return R.fuse([(R.top(R.bm25(*found), 100), 1.0), (R.top(R.bm25(*found, 1.5), 100), 0.3)], 10)
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -275,11 +253,6 @@ def kg_query_entity_asof(t):
     return G.about(triples(t), name).filter(G.in_force("1997-06-30")).select("id", "subject", "predicate", "object")
 
 
-@query(f"WITH {_TRIPLES} SELECT count(*) AS n_triples, count(DISTINCT subject) AS n_subjects, count(DISTINCT predicate) AS n_predicates FROM tr")
-def kg_stats(t):
-    return triples(t).agg(F.count(F.lit(1)).alias("n_triples"), F.count_distinct("subject").alias("n_subjects"), F.count_distinct("predicate").alias("n_predicates"))
-
-
 @query(f"WITH {_TRIPLES} SELECT subject AS entity FROM tr UNION SELECT object FROM tr")
 def kg_entities(t):
     every = triples(t)
@@ -310,19 +283,6 @@ def kg_traverse(t):
     return G.traverse(triples(t).filter("predicate <> 'last_order'"), start, 2)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS e FROM part), w AS (SELECT e, unnest(list_distinct(string_split(lower(e), ' '))) AS w FROM n),
-c AS (SELECT a.e AS a, b.e AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.e < b.e GROUP BY ALL)
-SELECT a, b, CASE WHEN lower(a) = lower(b) THEN 1.0 WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN 0.85 ELSE round(shared / greatest(len(list_distinct(string_split(lower(a), ' '))), len(list_distinct(string_split(lower(b), ' ')))), 6) END::DOUBLE AS similarity
-FROM c WHERE similarity >= 0.5""")
-def alias_suggest(t):
-    # names without a common word are at most contained in each other, which whole words rule out here
-    names = t.part.select(F.col("p_name").alias("e")).distinct()
-    words = names.select("e", F.explode(F.array_distinct(F.split(F.lower("e"), " "))).alias("w"))
-    a, b = words.withColumnRenamed("e", "a"), words.withColumnRenamed("e", "b")
-    pairs = a.join(b, "w").filter("a < b").select("a", "b").distinct()
-    return pairs.withColumn("similarity", F.round(T.similarity(F.col("a"), F.col("b")), 6)).filter("similarity >= 0.5")
-
-
 # --- documents, state and events ---
 @query("""WITH n AS (SELECT doc_id + 5 AS doc_id, md5(coalesce(text, '')) AS h FROM documents), o AS (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL OUTER JOIN n ON o.doc_id = n.doc_id""")
@@ -347,12 +307,6 @@ def recency_decay(t):
     return t.orders.select("o_orderkey", F.round(F.exp(-F.ln(F.lit(2.0)) / 30 * age), 6).alias("freshness"))
 
 
-@query("""SELECT user_id, event_id, round(m, 6) AS mean20, CASE WHEN value >= 4000 THEN 'critical' WHEN n >= 5 AND value > 2 * m THEN 'warning' ELSE 'ok' END AS status FROM (
-SELECT user_id, event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)""")
-def budget_status(t):
-    return S.budget_status(t.events, "user_id", "event_id", "value")
-
-
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type")
 def annotation_stats(t):
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"))

@@ -1,5 +1,6 @@
 import pytest
 
+import lodeweave.plans.retrieval  # noqa: F401  registers its queries
 from lodeweave.plans.catalogue import ORACLES, QUERIES
 from tests.compare import SF, connection, rows
 
