@@ -4,7 +4,7 @@ import json
 import os
 import time
 
-import lodeweave.plans.retrieval  # noqa: F401  registers its queries
+import lodeweave.plans.knowledge  # noqa: F401  registers its queries and those of retrieval
 from lodeweave.plans.catalogue import QUERIES
 from lodeweave.session import local_session
 
