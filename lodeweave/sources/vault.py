@@ -26,7 +26,10 @@ def _documents(files: DataFrame, root: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """Files below root whose names match pattern, tools' folders left out; an empty folder gives no rows."""
+    """Files below root whose names match pattern, tools' folders left out; an empty folder gives no rows.
+
+    Files without a byte are not seen, as Spark's file sources pass over them: a document that was emptied counts as gone.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return _documents(files, root)
 

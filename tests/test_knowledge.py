@@ -101,7 +101,8 @@ def test_store_and_stream(spark, tmp_path):
     assert facts() == [("Ada", "knows", "Bob"), ("Ada", "leads", "Core today"), ("One", "mentioned_in", "sub/b.md")]
     (folder / "a.md").write_text("# One\nNothing left of that.")
     (folder / "sub" / "b.md").unlink()
-    (folder / "c.md").write_text("")
+    (folder / "c.md").write_text(" ")
+    (folder / "none.md").write_text("")
     now = vault.documents(spark, str(folder))
     assert dict(map(tuple, store.difference(now).collect())) == {"a.md": "changed", "sub/b.md": "deleted", "c.md": "new"}
     assert store.sync(now) == (2, 1) and facts() == [("Ada", "knows", "Bob")]
