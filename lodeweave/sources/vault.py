@@ -8,8 +8,8 @@ from pyspark.sql import types as S
 
 from lodeweave.functions import markdown as M
 
-#: Folders of tools, which hold no documents.
-TOOLS = (".locus", ".palace", ".git", ".obsidian", "__pycache__", "node_modules")
+#: Folders of tools, which hold no documents, as do all whose names begin with a dot.
+TOOLS = ("__pycache__", "node_modules")
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -21,7 +21,8 @@ def _documents(files: DataFrame, root: str) -> DataFrame:
         base = "/" + root.split("://", 1)[1].strip("/") + "/"
     path = F.when(F.startswith(bare, F.lit(base)), F.substr(bare, F.lit(len(base) + 1))).otherwise(bare)
     parts = F.split(path, "/")
-    kept = ~F.exists(parts, lambda p: p.isin(*TOOLS))
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    kept = ~F.exists(folders, lambda p: p.isin(*TOOLS) | F.startswith(p, F.lit(".")))
     return files.select(path.alias("doc_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("checksum"), F.col("modificationTime").alias("modified")).filter(kept)
 
 
