@@ -27,7 +27,7 @@ _LETTERS, _MARKED = re.compile(f"^{_LATIN}$", re.M), re.compile(f"^({_LATIN})({_
 _OTHER = re.compile(f"^(?!{_LATIN}(?:{_MARKS})?$).+$", re.M)
 _GAP = re.compile("[ \n\t\r]")
 #: Characters of text that are worked on at once, at least.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 
 class Generations:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.batches import map_batches, slices
+from lodeweave.llm.batches import map_batches, slices, trim
 from lodeweave.llm.crf import Crf, padded
 
 #: Labelled documents that the model is fitted on, at most: toxic ones and others.
@@ -24,6 +24,8 @@ AROUND, PLAIN, TOXIC = 12, 0, 1
 #: The field is fitted on at most so many chains of so many tokens around telling ones.
 CHAINS, CHAIN = 5000, 24
 WORD = re.compile(r"\w+")
+#: Words whose odds a worker remembers, at most, until its partition ends.
+REMEMBERED = 50_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,6 +38,14 @@ def clues(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def documents_with(texts: Iterable[list[str]], only: dict[str, int] | None) -> Counter:
+    """How many of texts (lists of words) have each clue, of those in only if given."""
+    found: Counter = Counter()
+    for own in texts:
+        found.update({c for w in set(own) for c in clues(w) if only is None or c in only})
+    return found
+
+
 class Factors(dict):
     """Word to the odds that its clues alone give for toxic; 0 without a clue. Filled as words are met."""
 
@@ -43,7 +53,7 @@ class Factors(dict):
         self.telling, self.gain = telling, gain
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > REMEMBERED:
             self.clear()
         ids = [i for c in clues(word) if (i := self.telling.get(c))]
         got = self[word] = float(np.exp(self.gain[ids].sum())) if ids else 0.0
@@ -65,18 +75,20 @@ class Model:
     """
 
     def __init__(self, texts: list[str], toxic: list[int], seed: int = 3):
-        have: tuple[Counter, Counter] = (Counter(), Counter())
-        words = [tokens(t or "") for t in texts]
-        for own, y in zip(words, toxic):
-            have[y].update({c for w in set(own) for c in clues(w)})
+        same: dict[str, str] = {}  # a word met again is the word kept
+        words = [[same.setdefault(w, w) for w in tokens(t or "")] for t in texts]
         n = [max(1, toxic.count(y)) for y in (0, 1)]
-        odds = lambda c: (have[1][c] + 0.5) / (n[1] + 1) / ((have[0][c] + 0.5) / (n[0] + 1))
-        self.telling = {c: i + 2 for i, c in enumerate(sorted(c for c, k in have[1].items() if k >= LEAST_DOCS and odds(c) >= LEAST_ODDS))}
+        have = documents_with((own for own, y in zip(words, toxic) if y == 1), None)
+        have = {c: k for c, k in have.items() if k >= LEAST_DOCS}
+        other = documents_with((own for own, y in zip(words, toxic) if y == 0), have)
+        odds = lambda c: (have[c] + 0.5) / (n[1] + 1) / ((other[c] + 0.5) / (n[0] + 1))
+        self.telling = {c: i + 2 for i, c in enumerate(sorted(c for c in have if odds(c) >= LEAST_ODDS))}
         self.names = len(self.telling) + 2  # 0 padding, 1 bias
         memo: dict[str, list[int]] = {}
-        for w in set().union(*words) if words else ():
+        for w in same:
             if ids := [i for c in clues(w) if (i := self.telling.get(c))]:
                 memo[w] = ids
+        del have, other, same
         cells = []
         for own, y in zip(words, toxic):
             marked = [i for i, w in enumerate(own) if w in memo]
@@ -107,6 +119,7 @@ class Model:
         x = np.array([self.evidence(w)[0] for w in words]) if words else np.zeros((0, 3))
         self.usable = 0 < sum(toxic) < len(toxic)
         self.scale = logistic(np.hstack([x, np.ones((len(x), 1))]), np.array(toxic, dtype=float)).tolist()
+        self.known.clear()  # the fit's words: neither the driver nor the model sent out keeps them
 
     @staticmethod
     def windows(marked: list[int], n: int, around: int) -> list[tuple[int, int]]:
@@ -195,14 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_
     Labels that are null or neither 0 nor 1, of a null id or of no document count for nothing; of several
     labels of one document the largest holds, of several texts any one. Null texts count as empty.
     """
-    spark = docs.sparkSession
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [r for y, n in ((1, toxic_rows), (0, other_rows)) for r in usable.filter(F.col("y") == y).orderBy(*order).limit(n).collect()]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int"
-    some = F.broadcast(spark.createDataFrame([(r["doc_id"], int(r["y"])) for r in chosen], schema))  # bounded by the two parameters
+    toxic, other = (usable.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, toxic_rows), (0, other_rows)))
+    kind = docs.schema["doc_id"].dataType
+    some = F.broadcast(toxic.union(other).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("y").cast("int").alias("y")))  # bounded by the two parameters
     rows = docs.select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return Model([r["text"] or "" for r in rows], [r["y"] for r in rows])
+    model = Model([r["text"] or "" for r in rows], [r["y"] for r in rows])
+    del rows
+    trim()  # the driver goes on with other steps
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -220,6 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, 1):
                 got = [own.score(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([",".join(f"{a}:{b}" for a, b in x) for _, x in got], pa.string())], names=["doc_id", "score", "spans"])
+        own.known.clear()
 
     return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, spans string")
 
@@ -237,6 +253,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array([own.score(t or "")[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+        own.known.clear()
 
     return map_batches(docs, work, docs.schema)
 

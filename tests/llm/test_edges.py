@@ -1,12 +1,16 @@
 """Cases that each operator once got wrong, or could."""
 
+import pickle
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from lodeweave.llm import chat, html_text, licenses, secret_scan, topk, toxicity
+from lodeweave.llm import batches, chat, crf, html_text, licenses, secret_scan, topk, toxicity
 from tests.compare import SF
 
 
@@ -99,3 +103,52 @@ def test_pipeline_over_odd_tables(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert not got.empty and got.groupby("sequence_id").length.sum().max() <= 4096 and 7 not in set(got.doc_id)
     assert re.fullmatch("doc_id,piece,start,length,ids_crc32,sequence_id,offset", ",".join(got.columns))
+
+
+def test_fit_holds_a_word_once_and_sends_no_words():
+    rng = random.Random(1)
+    pool = [f"word{i:05d}" for i in range(4000)]
+    labels = [int(i % 3 == 0) for i in range(300)]
+    texts = [" ".join(rng.choices(pool, k=1500)) + " you idiot scum" * y for y in labels]
+    tracemalloc.start()
+    try:
+        model = toxicity.Model(texts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16e6 and len(pickle.dumps(model)) < 100_000
+    have = [Counter(c for t, own in zip(texts, labels) if own == y for c in {c for w in t.split() for c in toxicity.clues(w)}) for y in (0, 1)]
+    odds = {c: (k + 0.5) / 101 / ((have[0][c] + 0.5) / 201) for c, k in have[1].items() if k >= toxicity.LEAST_DOCS}
+    assert sorted(model.telling) == sorted(c for c, x in odds.items() if x >= toxicity.LEAST_ODDS) and "idiot" in model.telling
+    assert model.score("you idiot scum")[0] > 0.5 > model.score("word00001 word00002")[0]
+
+
+def test_scores_of_many_chains_are_those_of_each():
+    field, rng = crf.Crf(30, 2), np.random.default_rng(1)
+    field.weight[:] = rng.normal(size=(30, 2))
+    ids = rng.integers(0, 30, (2 * crf.AT_ONCE + 3, 5, 4))
+    assert (field.emit(ids) == field.weight[ids].sum(axis=-2)).all() and (field.emit(ids[0]) == field.weight[ids[0]].sum(axis=-2)).all()
+
+
+def test_fit_asks_no_workers_for_its_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "you idiot scum" if i % 3 == 0 else "you kind soul") for i in range(60)] + [(None, "idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(70)] + [(None, 1), (3, 0), (4, None), (5, 7)], "doc_id int, toxic int")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)  # it would start workers on the executors that stay beside those of the steps
+    model = toxicity.fit(docs, labels)
+    assert model.usable and "idiot" in model.telling and not model.known
+    empty = toxicity.fit(docs, labels.filter("toxic = 7"))
+    assert not empty.usable and empty.score("idiot") == (0.0, [])
+
+
+def test_a_step_drops_what_another_kept(spark):
+    def step(name):
+        def held(rows):
+            for batch in rows:
+                if name:
+                    batches.kept(name, lambda: "resource")
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(batches._kept)] * batch.num_rows)], names=["held"])
+
+        made = batches.map_batches(spark.range(64).repartition(8), held, "held string", name)
+        return {r["held"] for r in made.collect()}
+
+    assert step("coder") == {"coder"} and step("") == {""} and step("other") == {"other"}
