@@ -1,6 +1,6 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
-from lodeweave.llm import chat, fingerprints, html_text, licenses, mixing, ngram_join, packing, secret_scan, topk, toxicity
+from lodeweave.llm import chat, divergence, fingerprints, html_text, language, licenses, mixing, ngram_join, packing, secret_scan, topk, toxicity, variants
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_jaccard_join": ngram_join.op8_jaccard_join,
     "op9_toxic_spans": toxicity.op9_toxic_spans,
     "op10_config_packing": packing.op10_config_packing,
+    "op11_language_tags": language.op11_language_tags,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
-ORACLES = {"op4_pivot_topk": topk.ORACLE, "op7_perspectives": chat.ORACLE, "op8_jaccard_join": ngram_join.ORACLE}
+ORACLES = {"op4_pivot_topk": topk.ORACLE, "op7_perspectives": chat.ORACLE, "op8_jaccard_join": ngram_join.ORACLE, "op13_source_divergence": divergence.ORACLE}
