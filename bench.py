@@ -4,7 +4,7 @@ import json
 import os
 import time
 
-import lodeweave.plans.knowledge  # noqa: F401  registers its queries and those of retrieval
+import lodeweave.plans.search  # noqa: F401  registers all queries
 from lodeweave.plans.catalogue import QUERIES
 from lodeweave.session import local_session
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 HEADING = r"^#{1,6}\s+."
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda takes from outside is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def front_matter(text: Column) -> Column:
     """Struct (meta, body): the lines "key: value" between --- marks that a text begins with, the last of equal keys, and what follows.
 
@@ -18,7 +23,7 @@ def front_matter(text: Column) -> Column:
     block = F.when(end > 0, F.substr(text, F.lit(4), end - 4)).otherwise("")
     lines = F.filter(F.split(block, r"\R"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    last = let(pairs, lambda own: F.filter(own, lambda p, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda q: q["key"] == p["key"])))
     body = F.when(end > 0, F.trim(F.regexp_replace(F.substr(text, end + 4), r"^\s+|\s+$", ""))).otherwise(text)
     return F.struct(F.map_from_entries(last).alias("meta"), body.alias("body"))
 
@@ -33,11 +38,20 @@ def sections(body: Column) -> Column:
     path holds the headings above a section and its own, whole its heading and content; sections without
     both are left out. A body without a heading is one section of no heading.
     """
-    lines = F.split(body, r"\R")
+    return let(F.split(body, r"\R"), _sections)
+
+
+def _sections(lines: Column) -> Column:
     n = F.size(lines)
     at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(HEADING))
     heads = F.transform(at, lambda i: F.struct(i.alias("line"), F.char_length(F.regexp_extract(F.get(lines, i), "^(#+)", 1)).alias("level"), stripped(F.regexp_replace(F.get(lines, i), r"^#{1,6}\s+", "")).alias("heading")))
 
+    return let(heads, lambda own: _between(lines, own))
+
+
+def _between(lines: Column, heads: Column) -> Column:
+    n = F.size(lines)
+
     def lines_between(low: Column, high: Column) -> Column:
         return stripped(F.array_join(F.slice(lines, low + 1, F.greatest(F.lit(0), high - low)), "\n"))
 

@@ -17,11 +17,13 @@ from pyspark.sql.utils import AnalysisException
 from lodeweave.functions import text as T
 from lodeweave.operators import chunks as C
 from lodeweave.operators import facts as X
+from lodeweave.operators import kept
 from lodeweave.session import dropped, stored
 from lodeweave.sources import vault
 
 CATALOGUE = "doc_path string, checksum string, removed boolean, batch long, run string"
 COMMITS = "batch long, run string"
+SETTINGS = "analyzer string, place long"
 TABLES = {
     "documents": "doc_path string, text string, meta map<string,string>, body string, batch long, run string",
     "chunks": "doc_path string, ordinal int, section_id string, heading string, start int, content string, chunk_id string, n_tokens int, batch long, run string",
@@ -62,6 +64,36 @@ class Store:
             kept = kept.unionByName(rows.filter("not extracted"))
         return kept.select(*(c for c in rows.columns if c not in ("batch", "run")))
 
+    def analyzer(self) -> str:
+        """The analyzer that searches go by: the one last chosen, porter+english if none was."""
+        last = self._read("settings", SETTINGS).agg(F.max_by("analyzer", "place")).first()[0]
+        return last or kept.DEFAULT
+
+    def reindex(self, analyzer: str) -> kept.Index:
+        """Chooses another analyzer and builds its index from the kept passages; no source is read again."""
+        kept.checked(analyzer)
+        place = self._read("settings", SETTINGS).count()
+        self.spark.createDataFrame([(analyzer, place)], SETTINGS).coalesce(1).write.mode("append").parquet(f"{self.root}/settings")
+        return self.index()
+
+    def index(self) -> kept.Index:
+        """The index of the valid passages as of the last commit: built when it is first asked for, then read."""
+        analyzer = self.analyzer()
+        last = self._read("commits", COMMITS).agg(F.max(F.struct("batch", "run"))).first()[0]
+        root = f"{self.root}/index/{analyzer}/{f'{last[0]}-{last[1]}' if last else 'none'}"
+        return kept.Index.opened(self.spark, root) or kept.Index.build(self.table("chunks"), root, ["doc_path", "ordinal", "start"], analyzer=analyzer)
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """(item_id, rank, score, chunk_id, doc_path, content): the k best passages of each query (item_id, text)."""
+        index = self.index()
+        found = index.search(kept.query_terms(queries, index.analyzer), k)
+        return index.named(found, ["chunk_id", "doc_path", "content"]).select("item_id", "rank", "score", "chunk_id", "doc_path", "content")
+
+    def chunks_of(self, paths: DataFrame) -> DataFrame:
+        """The passages of documents (doc_path) in order: (doc_path, place, ...), place from 1."""
+        own = self.table("chunks").join(paths.select("doc_path").distinct(), "doc_path", "left_semi")
+        return own.withColumn("place", F.row_number().over(Window.partitionBy("doc_path").orderBy("ordinal", "start")))
+
     def last_batch(self) -> int:
         return self._read("commits", COMMITS).agg(F.max("batch")).first()[0] or 0
 

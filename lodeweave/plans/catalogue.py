@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lodeweave.functions import text as T
 from lodeweave.operators import graph as G
 from lodeweave.operators import index as I
+from lodeweave.operators import kept as K
 from lodeweave.operators import ranking as R
 from lodeweave.operators import state as S
+from lodeweave.session import fingerprint, kept_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,19 +65,26 @@ def top_sql(source: str, k: int, by: str = "item_id", tie: str = "doc_id") -> st
     return f"SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {tie}) AS INTEGER) AS rank FROM {source} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {tie}) <= {k}"
 
 
-def indexed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    post, stats = I.postings(t.documents), I.corpus_stats(t.documents)
-    return post, stats, I.vocabulary(post, stats)
+_OPEN: dict[tuple[SparkSession, str], K.Index] = {}
 
 
-def matched(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Query terms, and postings and vocabulary of these alone."""
-    terms = R.query_terms(t.benchmark)
-    return terms, *I.matched(t.documents, terms)
+def kept(t: Tables, name: str, passages: Callable[[], DataFrame], order: list[str], analyzer: str) -> K.Index:
+    """The index of that name over the folder's documents as they are now: built by the first query that asks, read by all that follow."""
+    root = kept_root(t.spark, f"{name}-{analyzer}-{fingerprint(t.spark, f'{t.folder}/documents.parquet')}")
+    if (t.spark, root) not in _OPEN:
+        _OPEN[t.spark, root] = K.Index.opened(t.spark, root) or K.Index.build(passages(), root, order, analyzer=analyzer)
+    return _OPEN[t.spark, root]
 
 
-def bm25_scores(t: Tables, k1: float = R.K1) -> DataFrame:
-    return R.bm25(*matched(t), k1)
+def documents(t: Tables) -> K.Index:
+    """Whole documents under the plain analyzer."""
+    return kept(t, "documents", lambda: t.documents.withColumnRenamed("text", "content"), ["doc_id"], "plain")
+
+
+def best(t: Tables, k: int, k1: float = R.K1, wanted: DataFrame | None = None) -> DataFrame:
+    """(item_id, doc_id, score, rank): the k best documents of each item of the benchmark."""
+    index = documents(t)
+    return index.named(index.search(K.query_terms(t.benchmark, index.analyzer), k, k1, wanted=wanted), ["doc_id"])
 
 
 # --- text ---
@@ -132,12 +141,12 @@ def corpus_stats(t):
 
 @query(f"WITH {_POST} SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
 def vocab_df_idf(t):
-    return indexed(t)[2].select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+    return documents(t).vocabulary().select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_POST} SELECT term, df, cf FROM vocab ORDER BY df DESC, cf DESC, term LIMIT 50")
 def top_terms(t):
-    return indexed(t)[2].select("term", "df", "cf").orderBy(F.desc("df"), F.desc("cf"), "term").limit(50)
+    return documents(t).vocabulary().select("term", "df", "cf").orderBy(F.desc("df"), F.desc("cf"), "term").limit(50)
 
 
 @query(f"WITH {_POST} SELECT doc_id, term, tf, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS INTEGER) AS rank FROM post QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 5")
@@ -148,24 +157,27 @@ def inspect_doc_terms(t):
 
 @query(f"WITH {_POST} SELECT doc_id, round(tf / dl, 6) AS weight FROM post WHERE term = 'der'")
 def posting_list(t):
-    return I.postings(t.documents).filter("term = 'der'").select("doc_id", F.round(F.col("tf") / F.col("dl"), 6).alias("weight"))
+    index = documents(t)
+    found = index.postings(t.spark.createDataFrame([("der",)], "term string"))
+    return index.named(found, ["doc_id"]).select("doc_id", F.round(F.col("tf") / F.col("dl"), 6).alias("weight"))
 
 
 # --- ranking ---
 @query(f"WITH {_POST}, {_TERMS}, {scores_sql('s', 1.2)} {top_sql('s', 10)}")
 def bm25_batch(t):
-    return R.top(bm25_scores(t), 10)
+    return best(t, 10)
 
 
 @query(f"WITH {_POST}, {_TERMS}, {scores_sql('s', 1.2)} SELECT doc_id, score FROM s WHERE item_id = 0 ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(t):
-    one = R.query_terms(t.benchmark.filter("item_id = 0"))
-    return R.bm25(one, *I.matched(t.documents, one)).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    index = documents(t)
+    found = index.search(K.query_terms(t.benchmark.filter("item_id = 0"), index.analyzer), 20)
+    return index.named(found, ["doc_id"]).select("doc_id", "score").orderBy(F.desc("score"), "doc_id")
 
 
 @query(f"WITH {_POST}, {_TERMS}, {scores_sql('s', 1.5)} {top_sql('s', 10)}")
 def rank_bm25_okapi(t):
-    return R.top(bm25_scores(t, 1.5), 10)
+    return best(t, 10, 1.5)
 
 
 _LISTS = f"{_POST}, {_TERMS}, {scores_sql('s', 1.2)}, {scores_sql('o', 1.5)}, a AS ({top_sql('s', 100)}), b AS ({top_sql('o', 100)})"
@@ -173,8 +185,7 @@ _LISTS = f"{_POST}, {_TERMS}, {scores_sql('s', 1.2)}, {scores_sql('o', 1.5)}, a
 
 @query(f"WITH {_LISTS}, f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT item_id, doc_id, 0.3::DOUBLE / (60 + rank) FROM b) GROUP BY ALL) {top_sql('f', 10)}")
 def rrf_weighted(t):
-    found = matched(t)
-    return R.fuse([(R.top(R.bm25(*found), 100), 1.0), (R.top(R.bm25(*found, 1.5), 100), 0.3)], 10)
+    return R.fuse([(best(t, 100), 1.0), (best(t, 100, 1.5), 0.3)], 10)
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -187,8 +198,8 @@ def grep_baseline(t):
 
 @query(f"WITH {_POST}, {_TERMS}, {scores_sql('s', 1.2)}, f AS (SELECT s.* FROM s JOIN documents USING (doc_id) WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2')) {top_sql('f', 5)}")
 def filtered_bm25(t):
-    wanted = t.documents.filter("lang = 'en' AND source IN ('src0', 'src1', 'src2')").select("doc_id")
-    return R.top(bm25_scores(t).join(wanted, "doc_id", "left_semi"), 5)
+    wanted = documents(t).passages().filter("lang = 'en' AND source IN ('src0', 'src1', 'src2')")
+    return best(t, 5, wanted=wanted)
 
 
 @query(f"""WITH {_POST}, {_TERMS}, {scores_sql('s', 1.2)}, a AS ({top_sql('s', 20)}),
@@ -196,8 +207,9 @@ w AS (SELECT a.*, CAST(floor(len({_WORDS}) * 1.3::DOUBLE) AS BIGINT) AS tokens F
 u AS (SELECT *, CAST(sum(tokens + 15) OVER (PARTITION BY item_id ORDER BY rank) AS BIGINT) AS used FROM w)
 SELECT item_id, doc_id, rank, used FROM u WHERE used <= 2000""")
 def pack_context(t):
-    cost = t.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
-    return S.packed(R.top(bm25_scores(t), 20).join(cost, "doc_id"), 2000).select("item_id", "doc_id", "rank", "used")
+    index = documents(t)
+    found = index.named(index.search(K.query_terms(t.benchmark, index.analyzer), 20), ["doc_id", "content"])
+    return S.packed(found.withColumn("tokens", T.token_estimate(F.col("content"))), 2000).select("item_id", "doc_id", "rank", "used")
 
 
 _QRELS = "q AS (SELECT item_id, doc_id, 1 AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

@@ -11,7 +11,7 @@ from lodeweave.operators import hot, hybrid
 from lodeweave.operators import ranking as R
 from lodeweave.operators import retrieval as X
 from lodeweave.operators import state as S
-from lodeweave.plans.catalogue import _CUES, _TRIPLES, ORACLES, bm25_scores, query, top_sql, triples
+from lodeweave.plans.catalogue import _CUES, _TRIPLES, ORACLES, best, query, top_sql, triples
 from lodeweave.plans.retrieval import _TOP, _VAULT, vault
 from lodeweave.sources import vault as V
 from lodeweave.streaming import watch
@@ -92,10 +92,16 @@ def graph_markup(t):
 _SECTIONS = ORACLES["split_sections"].split(f"WITH {_VAULT}, ", 1)[1]
 
 
-@query(f"""WITH {_VAULT}, {_SECTIONS.rsplit('SELECT doc_id, n AS section', 1)[0].rstrip()}, z AS (SELECT doc_id, n AS section{_SECTIONS.rsplit('SELECT doc_id, n AS section', 1)[1]}),
-w AS (SELECT z.doc_id, doc_path, section, heading, trim(heading || chr(10) || chr(10) || content, chr(10) || ' ') AS content FROM z JOIN vault USING (doc_id)),
-k AS (SELECT *, substr(sha256(doc_path || ':' || CASE WHEN heading = '' THEN ':0' ELSE 'section:' || heading END), 1, 16) AS chunk_id FROM w WHERE length(content) >= 10)
-SELECT doc_path, section AS ordinal, chunk_id, length(content) AS n_chars FROM k QUALIFY row_number() OVER (PARTITION BY doc_path, chunk_id ORDER BY section DESC) = 1""")
+_PASSAGES = f"""WITH {_VAULT}, {_SECTIONS.rsplit('SELECT doc_id, n AS section', 1)[0].rstrip()}, z AS (SELECT doc_id, n AS section{_SECTIONS.rsplit('SELECT doc_id, n AS section', 1)[1]}),
+w AS (SELECT z.doc_id, doc_path, section, heading, regexp_replace(heading || chr(10) || chr(10) || content, '^\\s+|\\s+$', '', 'g') AS whole FROM z JOIN vault USING (doc_id)),
+ws AS (SELECT *, list_filter(regexp_split_to_array(whole, '\\s+'), lambda x: x <> '') AS wl FROM w),
+wn AS (SELECT doc_id, doc_path, section, heading, 0 AS start, whole AS content, 'section:' || heading AS key FROM ws WHERE heading <> '' AND len(wl) <= 400
+  UNION ALL SELECT doc_id, doc_path, section, heading, start, array_to_string(wl[start + 1:start + 400], ' '), heading || ':' || start FROM (SELECT *, unnest(range(0, len(wl), 350)) AS start FROM ws WHERE NOT (heading <> '' AND len(wl) <= 400))),
+k AS (SELECT *, substr(sha256(doc_path || ':' || key), 1, 16) AS chunk_id FROM wn WHERE length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 10),
+ps AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_path, chunk_id ORDER BY section DESC, start DESC) = 1)"""
+
+
+@query(f"{_PASSAGES} SELECT doc_path, section AS ordinal, chunk_id, length(content) AS n_chars FROM ps")
 def section_chunks(t):
     found = C.of_documents(vault(t))
     return found.select("doc_path", "ordinal", "chunk_id", F.char_length("content").cast("long").alias("n_chars"))
@@ -130,7 +136,7 @@ def hybrid_rank(t):
     """BM25's 100 best of each query, ranked again with facts, links, dates and inbound links."""
     docs = vault(t).select("doc_id", "doc_path", "meta", "body")
     paths = docs.select("doc_id", "doc_path")
-    pool = R.top(bm25_scores(t), 100)
+    pool = best(t, 100)
     known = t.documents.filter("source is not null").join(paths, "doc_id")
     held = known.select(F.col("source").alias("subject"), F.col("doc_path").alias("object"), F.col("doc_id").alias("id"), F.col("doc_path").alias("source"))
     asked = t.benchmark.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 5).cast("string")).alias("entity"))
@@ -172,6 +178,6 @@ h AS (SELECT q.item_id, min(rank) AS first FROM q JOIN a ON a.item_id = q.item_i
 SELECT query_type, count(*) AS n, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS rr FROM q LEFT JOIN h USING (item_id) GROUP BY 1""")
 def eval_by_type(t):
     path = lambda c: F.concat(F.lit("d"), F.col(c).cast("string"))
-    run = R.top(bm25_scores(t), 10).select(F.col("item_id").alias("query"), path("doc_id").alias("doc_path"), "rank")
+    run = best(t, 10).select(F.col("item_id").alias("query"), path("doc_id").alias("doc_path"), "rank")
     asked = t.benchmark.select(F.col("item_id").alias("query"), F.concat(F.lit("t"), (F.col("item_id") % 3).cast("string")).alias("query_type"), F.array(path("item_id")).alias("expected"))
     return S.by_type(run, asked)

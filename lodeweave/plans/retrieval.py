@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from lodeweave.functions import markdown as M
 from lodeweave.functions import stem as P
 from lodeweave.functions import text as T
-from lodeweave.operators import filters, graph
-from lodeweave.operators import index as I
+from lodeweave.operators import filters, graph, kept, planner
 from lodeweave.operators import ranking as R
 from lodeweave.operators import retrieval as X
 from lodeweave.operators import state as S
-from lodeweave.plans.catalogue import _POST, _TERMS, _TRIPLES, _WORDS, bm25_scores, indexed, matched, query, scores_sql, tok, top_sql, triples
+from lodeweave.plans.catalogue import _POST, _TERMS, _TRIPLES, _WORDS, best, documents, query, scores_sql, tok, top_sql, triples
 
 # --- queries' texts ---
 _ASKED = """(SELECT item_id, ['report q' || (item_id % 4 + 1) || ' ' || (1988 + item_id), 'Q4' || (2000 + item_id) || ' numbers', 'from 1985 to 2001', 'who is Bob in ' || (1980 + item_id), 'rooms 2100 and 2050'][1 + item_id % 5] || ' #Ops tagged Legal about security ' || ['Review of the RFC', 'spec note', 'nothing', 'adrs', '"Big Plan" and ''small one'''][1 + item_id % 5] AS q FROM benchmark)"""
@@ -84,7 +83,7 @@ def stem_terms(t):
 
 
 # --- a vault of Markdown made from documents ---
-_HEAD = "coalesce(substr(text, 1, 60), '')"
+_HEAD = "coalesce(text, '')"
 _VAULT = f"""vault AS (SELECT doc_id, lang || '/d' || doc_id || '.md' AS doc_path,
   '---' || chr(10) || 'type: ' || ['Spec', 'rfi', 'note'][1 + doc_id % 3] || chr(10) || 'date: 2026-0' || (1 + doc_id % 9) || '-1' || (doc_id % 10) || chr(10) || 'tags: [ops, #t' || (doc_id % 4) || ']' || chr(10)
   || 'revision: ' || (doc_id % 12) || chr(10) || 'supersedes: ' || lang || '/d' || (doc_id - 7) || '.md' || chr(10) || '---' || chr(10)
@@ -92,14 +91,16 @@ _VAULT = f"""vault AS (SELECT doc_id, lang || '/d' || doc_id || '.md' AS doc_pat
   || '### Deep' || chr(10) || '## Other' || chr(10) || 'Tail of it all' AS text FROM documents)"""
 
 
-def vault(t):
+def vault(t, of=None):
+    """Markdown of every document, whole; or of the documents of a table (doc_id) alone."""
     number = F.col("doc_id")
     text = lambda c: c.cast("string")
     kind = F.element_at(F.array(*map(F.lit, ("Spec", "rfi", "note"))), (number % 3 + 1).cast("int"))
     path = lambda n: F.concat("lang", F.lit("/d"), text(n), F.lit(".md"))
-    parts = ["---\ntype: ", kind, "\ndate: 2026-0", text(number % 9 + 1), "-1", text(number % 10), "\ntags: [ops, #t", text(number % 4), "]\nrevision: ", text(number % 12), "\nsupersedes: ", path(number - 7), "\n---\nOpening ", text(number % 3), "\n# Top ", text(number), "\n\n", F.translate(F.coalesce(F.substring("text", 1, 60), F.lit("")), "#", ""), "\n## Part [[d", text(number + 1), "|next]]\nSee [prior](", path(number - 1), ").\n### Deep\n## Other\nTail of it all"]
+    parts = ["---\ntype: ", kind, "\ndate: 2026-0", text(number % 9 + 1), "-1", text(number % 10), "\ntags: [ops, #t", text(number % 4), "]\nrevision: ", text(number % 12), "\nsupersedes: ", path(number - 7), "\n---\nOpening ", text(number % 3), "\n# Top ", text(number), "\n\n", F.translate(F.coalesce("text", F.lit("")), "#", ""), "\n## Part [[d", text(number + 1), "|next]]\nSee [prior](", path(number - 1), ").\n### Deep\n## Other\nTail of it all"]
     made = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    return t.documents.select("doc_id", path(number).alias("doc_path"), made.alias("text")).withColumn("front", M.front_matter(F.col("text"))).select("doc_id", "doc_path", "text", "front.*")
+    docs = t.documents if of is None else t.documents.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.select("doc_id", path(number).alias("doc_path"), made.alias("text")).withColumn("front", M.front_matter(F.col("text"))).select("doc_id", "doc_path", "text", "front.*")
 
 
 @query(f"""WITH {_VAULT}, b AS (SELECT doc_id, unnest(range(len(l))) AS i, l FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '(?s)^---.*?\\n---', ''), chr(10) || ' '), chr(10)) AS l FROM vault)),
@@ -156,10 +157,10 @@ _TOP = f"{_POST}, {_TERMS}, {scores_sql('s', 1.2)}"
 FROM post JOIN qt USING (term) JOIN vocab USING (term) JOIN a USING (item_id, doc_id)""")
 def score_terms(t):
     """Contributions of each query term to the query's 100 best documents."""
-    terms, post, vocab = matched(t)
-    best = R.top(R.bm25(terms, post, vocab), 100).select("item_id", "doc_id")
-    own = terms.join(vocab.select("term", "idf", "avgdl"), "term")
-    return post.join(own, "term").join(best, ["item_id", "doc_id"], "left_semi").select("item_id", "doc_id", "term", F.round(R.contribution(), 6).alias("contribution"))
+    index = documents(t)
+    terms = kept.query_terms(t.benchmark, index.analyzer)
+    found = index.contributions(terms, index.search(terms, 100))
+    return index.named(found, ["doc_id"]).select("item_id", "doc_id", "term", F.round("contribution", 6).alias("contribution"))
 
 
 @query(f"""WITH {_TOP}, a AS ({top_sql('s', 10)}), w AS (SELECT item_id, doc_id, score / sum(score) OVER (PARTITION BY item_id) AS w FROM a),
@@ -168,10 +169,8 @@ b AS (SELECT *, rel / sum(rel) OVER (PARTITION BY item_id) AS share FROM (SELECT
 o AS (SELECT item_id, term, qtf / sum(qtf) OVER (PARTITION BY item_id) AS own FROM qt)
 SELECT coalesce(o.item_id, b.item_id) AS item_id, coalesce(o.term, b.term) AS term, round(0.5 * coalesce(own, 0) + 0.5 * coalesce(share, 0), 6)::DOUBLE AS weight FROM o FULL JOIN b ON o.item_id = b.item_id AND o.term = b.term""")
 def rm3_model(t):
-    terms, post, vocab = matched(t)
-    best = R.top(R.bm25(terms, post, vocab), 10)
-    feedback = I.postings(t.documents.join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return X.expansion(terms, best, feedback).select("item_id", "term", F.round("weight", 6).alias("weight"))
+    index = documents(t)
+    return planner.model(index, kept.query_terms(t.benchmark, index.analyzer)).select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {_TOP}, a AS ({top_sql('s', 50)}), i AS (SELECT a.*, doc_id % 9 = 3 AS hit FROM a), p AS (SELECT *, row_number() OVER (PARTITION BY item_id, hit ORDER BY rank) AS place FROM i),
@@ -179,7 +178,8 @@ f AS (SELECT item_id, doc_id, rank AS old_rank, round(1.0::DOUBLE / (60 + rank)
 SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, old_rank) AS INTEGER) AS rank FROM f""")
 def temporal_boost(t):
     """Documents dated in April go up, as for a query that names it."""
-    pool = R.top(bm25_scores(t), 50).join(vault(t).select("doc_id", "meta"), "doc_id")
+    pool = best(t, 50)
+    pool = pool.join(vault(t, pool).select("doc_id", "meta"), "doc_id")
     windows = T.time_windows(F.lit("a week ago"), F.lit("2026-04-20").cast("date"))
     day = T.document_date(F.col("meta")["date"])
     inside = F.exists(windows, lambda w: (day >= w["low"]) & (day <= w["high"])) | (F.substring(F.col("meta")["date"], 6, 2) == "04")
@@ -189,7 +189,8 @@ def temporal_boost(t):
 @query(f"""WITH {_TOP}, a AS ({top_sql('s', 20)}), d AS (SELECT a.item_id, a.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY 1 + doc_id % 9 DESC, doc_id % 10 DESC, doc_id) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n FROM a)
 SELECT item_id, doc_id, round(1 - i / n::DOUBLE, 6) AS score FROM d""")
 def recency_signal(t):
-    pool = R.top(bm25_scores(t), 20).join(vault(t).select("doc_id", F.col("meta")["date"].alias("date")), "doc_id")
+    pool = best(t, 20)
+    pool = pool.join(vault(t, pool).select("doc_id", F.col("meta")["date"].alias("date")), "doc_id")
     return X.recency(pool).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -197,7 +198,7 @@ def recency_signal(t):
 SELECT item_id, lang, score, string_agg(doc_id, ',' ORDER BY rank) AS children, CAST(row_number() OVER (PARTITION BY item_id ORDER BY first) AS INTEGER) AS rank
 FROM (SELECT item_id, lang, doc_id, rank, max(score) OVER (PARTITION BY item_id, lang) AS score, min(rank) OVER (PARTITION BY item_id, lang) AS first FROM l) GROUP BY item_id, lang, score, first""".replace("CAST(row_number()", "CAST(rank()"))
 def parent_groups(t):
-    pool = R.top(bm25_scores(t), 30).join(t.documents.select("doc_id", "lang"), "doc_id")
+    pool = best(t, 30).join(t.documents.select("doc_id", "lang"), "doc_id")
     return X.parents(pool, parent="lang", child="doc_id")
 
 
@@ -207,9 +208,10 @@ SELECT q.doc_id AS doc_a, v.doc_id AS doc_b, round(sum(q.w * v.w) / (any_value(a
 GROUP BY 1, 2 HAVING similarity > 0.3""")
 def related_docs(t):
     """TF-IDF cosine of every hundredth document with all others."""
-    post, stats, vocab = indexed(t)
-    idf = F.ln((F.col("n_docs") + 1) / (F.col("df") + 1).cast("double")) + 1.0
-    w = post.join(vocab.select("term", "df", "n_docs"), "term").select("doc_id", "term", (F.round(F.col("tf") / F.col("dl"), 4) * idf).alias("w"))
+    index = documents(t)
+    idf = F.ln((F.lit(index.n_docs) + 1) / (F.col("df") + 1).cast("double")) + 1.0
+    post = index.named(index.postings(), ["doc_id"])
+    w = post.join(index.vocabulary().select("term", "df"), "term").select("doc_id", "term", (F.round(F.col("tf") / F.col("dl"), 4) * idf).alias("w"))
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     mine = w.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("doc_a"), "term", F.col("w").alias("u"))
     dots = mine.join(w.withColumnRenamed("doc_id", "doc_b"), "term").filter("doc_a <> doc_b").groupBy("doc_a", "doc_b").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -61,6 +62,29 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return table
 
 
+def kept_root(spark: SparkSession, name: str) -> str:
+    """A folder of that name for tables that several jobs of the session read; it goes with the application."""
+    path = f"{shared_dir(spark)}/lodeweave/{name}"
+    _kept.setdefault(spark, set()).add(path)
+    return path
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A name for the files below path, or the file, as they are now: their names, sizes and times of change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    seen = []
+    while files.hasNext():
+        one = files.next()
+        seen.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def is_stored(table: DataFrame) -> bool:
+    """Whether stored() made this table: it is read, not computed, when it is used again."""
+    return "_stored_at" in table.__dict__
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that stored() made and that no later step reads."""
     for table in tables:

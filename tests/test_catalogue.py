@@ -1,6 +1,6 @@
 import pytest
 
-import lodeweave.plans.knowledge  # noqa: F401  registers its queries and those of retrieval
+import lodeweave.plans.search  # noqa: F401  registers all queries
 from lodeweave.plans.catalogue import ORACLES, QUERIES
 from tests.compare import SF, connection, rows
 
