@@ -272,9 +272,12 @@ def fit(docs: DataFrame, langs: int = LANGS, rows: int = DOCS) -> Model:
     rows the smallest words count. Without a language nothing is learned.
     """
     some = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = some.select("doc_id", "lang").join(F.broadcast(most), "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
+    most = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    # places are even, so four times as many documents as asked for lie below this bound, and no more are ranked
+    near = some.select("doc_id", "lang", place.alias("place")).join(F.broadcast(most), "lang").filter(F.col("place") <= (1 << 40) * (4.0 * rows / F.col("count")))
+    first = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
     chosen = F.broadcast(first.select("lang", "doc_id").distinct())  # bounded by the two parameters
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -285,7 +288,7 @@ def fit(docs: DataFrame, langs: int = LANGS, rows: int = DOCS) -> Model:
 
     same = some["doc_id"].eqNullSafe(chosen["doc_id"]) & (some["lang"] == chosen["lang"])
     found = map_batches(some.join(chosen, same, "leftsemi").select("doc_id", "lang", "text"), cut, f"doc_id {kind}, lang string, words string", "stretches")
-    got = found.groupBy("doc_id", "lang").agg(F.min("words").alias("words")).orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
+    got = found.groupBy("doc_id", "lang").agg(F.min("words").alias("words")).orderBy("lang", place, "doc_id").collect()
     model = Model([(r["lang"], r["words"].split(" ") if r["words"] else []) for r in got])
     trim()
     return model
