@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +23,11 @@ REMEMBERED = 150_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words that are encoded together, one a line: letters of Latin-1, which lower-casing and NFC treat one by one, then ASCII marks but the apostrophe.
 _LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
-_LETTERS, _MARKED = re.compile(f"^{_LATIN}$", re.M), re.compile(f"^({_LATIN})({_MARKS})$", re.M)
+_LETTERS, _MARKED = re.compile(f"^{_LATIN}$", re.M), re.compile(f"^({_LATIN})({_MARKS})?$", re.M)
 _OTHER = re.compile(f"^(?!{_LATIN}(?:{_MARKS})?$).+$", re.M)
 _GAP = re.compile("[ \n\t\r]")
 #: Characters of text that are worked on at once, at least.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 20
 
 
 class Generations:
@@ -71,25 +71,19 @@ class WordCoder:
             self.words.new[word] = np.array(got.ids, dtype="<u4").tobytes()
 
     def letters(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of runs of letters: each gives one token that ends a word, its last."""
+        """The ids of runs of lower-case letters: each gives one token that ends a word, its last."""
         for k in range(0, len(words), 250):
             some = words[k : k + 250]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             yield from [raw[i:j] for i, j in zip([0, *stops], stops)]
 
     def learn(self, new: set[str]) -> None:
-        """Puts the ids of words into self.words."""
-        lines, words = "\n".join(new), self.words.new
-        bare = _LETTERS.findall(lines)
-        words.update(zip(bare, self.letters(bare), strict=True))
-        marked = _MARKED.findall(lines)
-        marks = [m for _, m in marked]
-        self.direct(set(marks) - words.keys())
-        cores = self.letters([c for c, _ in marked])
-        words.update((c + m, got + words[m]) for (c, m), got in zip(marked, cores, strict=True))
-        self.direct(set(_OTHER.findall(lines)) - words.keys())
+        """Puts the ids of words, cores in lower case among them, into self.words."""
+        bare = _LETTERS.findall("\n".join(new))
+        self.words.new.update(zip(bare, self.letters(bare), strict=True))
+        self.direct(new.difference(bare))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers; parts of AT_ONCE characters or more are worked on together."""
@@ -109,10 +103,19 @@ class WordCoder:
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := self.words.missing(set().union(*split)):
+        lines = "\n".join(set().union(*split))
+        found, other = _MARKED.findall(lines), _OTHER.findall(lines)
+        # words that differ in case or in marks at their end share one core
+        cores = "\n".join([c for c, _ in found]).lower().split("\n") if found else []
+        marks = {m for _, m in found}
+        if new := self.words.missing({*cores, *marks, *other}):
             self.learn(new)
-        known = self.words.new.__getitem__
-        return (b"".join(map(known, words)) for words in split)
+        known = self.words.new
+        table = {"": b""}
+        table.update((w, known[w]) for w in other)
+        table.update((c + m, known[low] + known[m] if m else known[low]) for (c, m), low in zip(found, cores, strict=True))
+        get = table.__getitem__
+        return (b"".join(map(get, words)) for words in split)
 
 
 def _parted(text: str) -> Iterator[str]:
@@ -171,8 +174,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     return map_batches(docs.select("doc_id", "text"), cut, fields, f"coder {_tokenizer_path(tokenizer)}")
 
 
-def slots(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
-    """Runs of places, sorted by length and first rank: length, first rank, pieces per sequence, first sequence, offset."""
+def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, ...]]:
+    """Runs of places, sorted by length and first rank: length, first rank (from 0), places, pieces per sequence, first sequence, offset."""
     run, first = [], 0
     for n, items in plan:
         offset = 0
@@ -180,11 +183,11 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
             run.append((length, n * items[length], items[length], first, offset))
             offset += length * items[length]
         first += n
-    table = np.array(sorted(run), dtype=np.int64).reshape(-1, 5)
-    length, size = table[:, 0], table[:, 1]
-    before = np.cumsum(size) - size
-    start = before - before[np.searchsorted(length, length)] if len(table) else before
-    return length, start, table[:, 2], table[:, 3], table[:, 4]
+    out, start = [], Counter()
+    for length, size, *rest in sorted(run):
+        out.append((int(length), start[length], int(size), *map(int, rest)))
+        start[length] += int(size)
+    return out
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -192,7 +195,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The histogram of lengths, at most capacity rows, goes to the driver; config_lp solves and rounds the
     configuration program over it. Each length's pieces are ranked by doc_id and piece across all
-    partitions, and a piece finds its place by binary search for (length, rank) in the runs of the plan,
+    partitions, and a piece finds its place by its rank among the runs of its length in the plan,
     whose number depends on the histogram alone. An empty table gives an empty result.
     """
     cut = stored(cut, "pieces")
@@ -200,19 +203,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = slots(config_lp.plan([r[0] for r in rows], [r[1] for r in rows], capacity))
     order = [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
     placed = ranked(cut, ["length"], order)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
-    names = cut.columns
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        length, start, per, first, offset = table
-        key = length * (1 << 44) + start  # ranks of a length stay under 2^44
-        for b in batches:
-            own, rank = b["length"].to_numpy(), b["rank"].to_numpy() - 1
-            i = np.searchsorted(key, own * (1 << 44) + rank, side="right") - 1
-            k = rank - start[i]
-            yield b[names].assign(sequence_id=first[i] + k // per[i], offset=offset[i] + k % per[i] * own)
-
-    return placed.mapInPandas(place, schema)
+    runs = cut.sparkSession.createDataFrame(table, "_length long, _start long, _size long, _per long, _first long, _offset long")
+    k = F.col("rank") - 1 - F.col("_start")
+    # the runs are bounded by the histogram: a few for each length
+    found = placed.join(F.broadcast(runs), (F.col("length") == F.col("_length")) & (F.col("rank") > F.col("_start")) & (F.col("rank") <= F.col("_start") + F.col("_size")))
+    return found.select(*cut.columns, (F.col("_first") + F.floor(k / F.col("_per"))).alias("sequence_id"), (F.col("_offset") + k % F.col("_per") * F.col("length")).alias("offset"))
 
 
 def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
