@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,12 +144,15 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Null texts, sources and ids, repeated rows and empty tables as in mix(); other columns come along.
     """
-    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").filter("copies > 0")
+    own = f"_{uuid.uuid4().hex}"  # no column of docs has such a name
+    names = {c: f"{own}_{c}" for c in ("doc_id", "source", "size", "copies", "words", "copy")}
+    plan = mix(docs, **how).filter("copies > 0").select(*(F.col(c).alias(names[c]) for c in ("doc_id", "source", "size", "copies")))
     plan = stored(plan, "copies")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_words"] == plan["_size"])
-    return sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    sized = docs.withColumn(names["words"], word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").eqNullSafe(F.col(names["source"])) & (F.col(names["words"]) == F.col(names["size"]))
+    again = sized.join(plan, same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+    return again.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
