@@ -20,7 +20,8 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button center dd d
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg".split())
 SECTIONS = frozenset("article aside body div footer form header main nav section table td ul ol blockquote".split())
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
+#: A quote opens a value right after its "=" alone: elsewhere it is a letter of a name or of an unquoted value.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))*)>?""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PATH, WORDS, NUMBERS, HIDDEN = 64, 8, 5, 24
 PAGES, EPOCHS, SEED = 420, 14, 5
