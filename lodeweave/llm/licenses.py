@@ -63,18 +63,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
 
     The templates are broadcast: their number is that of this module's table. A document also keeps one
     row of its own, so that texts without a match, null and empty ones (n_words 0, no labels) stay.
-    Repeated rows each give their row. Other columns are not looked at.
+    Rows are told apart by doc_id and a hash of the text, which a lost partition computes alike; repeated rows are scanned together and each give
+    their row. Labels of equal score are all kept, sorted. Other columns are not looked at.
     """
     table = template_grams(docs.sparkSession, phrases or PHRASES, templates or TEMPLATES)
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    own = docs.select(F.xxhash64("text").alias("row"), "doc_id", words(F.col("text")).alias("w"))
     each = own.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(grams(F.col("w"))).alias("pos", "gram"))
     hit = each.join(F.broadcast(table), "gram", "left").filter("template is not null or pos = 0 or pos is null")
     votes = hit.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", (F.col("pos") - F.col("at")).alias("diagonal"))
-    votes = votes.agg(F.array_sort(F.collect_set("at")).alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
+    votes = votes.agg(F.array_sort(F.collect_set("at")).alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"))
+    order = Window.partitionBy("row", "doc_id", "n_words", "template").orderBy("diagonal")
     new = F.col("base") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR)
     runs = votes.withColumn("run", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(order))
-    runs = runs.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = runs.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("copies").alias("copies"))
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
     stands = F.when(F.col("base"), F.col("votes") == F.col("size")).otherwise((cover >= COVER) & (F.col("high") - F.col("low") + 2 <= STRETCH * (F.col("size") + 1)))
     stands = F.coalesce(stands, F.lit(False))
@@ -88,8 +89,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
         F.array_join(F.array_sort(F.collect_set(F.when(stands, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(stands, cover)), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(span)).alias("spans"),
+        F.max("copies").alias("copies"),
     )
-    return out.drop("row")
+    # the first place of a text stands on one diagonal of a template for each row that repeats it
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("row", "copies", "copy")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
