@@ -31,9 +31,10 @@ def rotate(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     and no row. A conversation of any length is ranked over all partitions and rendered in parts, so that
     a task holds at most turns turns at a time. An empty table gives an empty result; other columns are not looked at.
     """
+    kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select(
         F.col("conv_id").isNull().alias("none"),
-        F.coalesce("conv_id", F.lit(0)).alias("conv"),
+        F.coalesce("conv_id", F.lit("" if kind == "string" else 0).cast(kind)).alias("conv"),
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("words"),
