@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodeweave.llm.batches import map_batches
 from lodeweave.llm.components import components
+from lodeweave.llm.ranking import ranked
 from lodeweave.llm.shingles import mix, shingle_sets, texts_of
 from lodeweave.session import stored
 
@@ -176,8 +178,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Null and empty texts have n_shingles 0 and are linked with nothing, rows without a doc_id stand for
     themselves with their class's component (null if all its ids are), rows that repeat a doc_id are one
-    document. An empty table gives an empty result; other columns are not looked at.
+    document: rows of one id and different texts link what each of them links. Ids that are no whole numbers are numbered
+    in their order and come back as they were. An empty table gives an empty result; other columns are not looked at.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        ids = docs.select("doc_id").filter("doc_id is not null").distinct().withColumn("one", F.lit(0))
+        ids = stored(ranked(stored(ids, "ids"), ["one"], [F.col("doc_id")]).select("doc_id", F.col("rank").cast("long").alias("no")), "numbers")
+        found = jaccard_components(docs.select("doc_id", "text").join(small(ids), "doc_id", "left").select(F.col("no").alias("doc_id"), "text"), k, percent)
+        first = ids.select(F.col("doc_id").alias("component"), F.col("no").alias("component_id"))
+        found = found.withColumnRenamed("doc_id", "no").join(ids, "no", "left").join(first, "component_id", "left")
+        return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = stored(incidence(docs, k, percent, frequent_shingles(docs, k)), "incidence")
     identity = ["n", "key1", "key2"]
@@ -237,7 +247,7 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     groups = stored(jaccard_components(docs, k, percent), "groups")
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(small(gone.distinct()), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(small(gone.distinct()), F.col("doc_id") == F.col("_gone"), "left_anti")
     if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
