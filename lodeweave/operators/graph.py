@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
+from lodeweave.operators.prefix import running
 from lodeweave.session import stored
 
 
@@ -38,12 +39,28 @@ def traverse(triples: DataFrame, start: str, depth: int) -> DataFrame:
 
 
 def contradictions(triples: DataFrame) -> DataFrame:
-    """Pairs of triples of one subject and predicate with different objects whose windows overlap."""
+    """Pairs of triples of one subject and predicate with different objects whose windows overlap.
+
+    A sweep over the windows' ends: sorted by subject, predicate and time, the windows that begin inside another
+    follow its beginning without a gap, up to its end. Each triple meets those alone, by their places in the
+    order, so what is made grows with the pairs that overlap, and a subject of many triples is spread like any others.
+    Triples without an id, subject, predicate or object contradict nothing.
+    """
     low, high = F.coalesce("valid_from", F.lit("0000-01-01")), F.coalesce("valid_to", F.lit("9999-12-31"))
-    t = triples.select("id", "subject", "predicate", "object", low.alias("low"), high.alias("high"))
-    a, b = (t.select("subject", "predicate", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "object", "low", "high"))) for s in "ab")
-    both = a.join(b, ["subject", "predicate"]).filter("id_a < id_b AND object_a <> object_b AND low_a <= high_b AND low_b <= high_a")
-    return both.select("subject", "predicate", "id_a", "id_b", "object_a", "object_b")
+    t = triples.filter("id is not null and subject is not null and predicate is not null and object is not null")
+    t = t.select("subject", "predicate", "id", "object", low.alias("low"), high.alias("high"))
+    ends = t.withColumn("e", F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("high").alias("at"), F.lit(1).alias("kind")))))
+    ends = ends.select("subject", "predicate", "e.*", "id", "object", "low", "high")
+    swept = stored(running(ends, ["subject", "predicate", "at", "kind", "id", "object", "low", "high"], F.col("kind") == 0, "place"), "swept")
+    begin = swept.filter("kind = 0").select("subject", "predicate", "id", "object", "low", "high", "place")
+    same = ["subject", "predicate", "id", "object", "low", "high"]
+    until = swept.filter("kind = 1").groupBy(*same).agg(F.max("place").alias("last"))
+    open_ = begin.join(until, same).filter("last > place").withColumn("place", F.explode(F.sequence(F.col("place") + 1, F.col("last"))))
+    a = open_.select("place", *(F.col(c).alias(f"{c}_x") for c in same))
+    both = a.join(begin, "place").filter("object_x <> object and id_x <> id and low_x <= high")
+    first = F.col("id_x") < F.col("id")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return both.select("subject", "predicate", pick("id_x", "id").alias("id_a"), pick("id", "id_x").alias("id_b"), pick("object_x", "object").alias("object_a"), pick("object", "object_x").alias("object_b"))
 
 
 def alias_pairs(names: DataFrame, least: float = 0.75) -> DataFrame:

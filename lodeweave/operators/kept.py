@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -18,6 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from lodeweave.functions import stem as P
 from lodeweave.functions import text as T
 from lodeweave.operators import ranking as R
+from lodeweave.operators.prefix import running
 from lodeweave.session import is_stored, stored
 
 ANALYZERS = ("plain", "porter", "porter+english")
@@ -59,12 +60,8 @@ def query_terms(queries: DataFrame, analyzer: str, key: str = "item_id", body: s
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with pid, from 0 in the given order, which names each row: a partition counts its own rows on top of those before it."""
-    dealt = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.join(F.broadcast(sizes), "_part").withColumn("pid", (F.col("_before") + place).cast("long")).drop("_part", "_before")
+    """rows with pid, from 0 in the given order, which names each row."""
+    return running(rows, order, F.lit(True), "pid").withColumn("pid", F.col("pid") - 1)
 
 
 def impact(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:

@@ -97,9 +97,11 @@ class Store:
     def last_batch(self) -> int:
         return self._read("commits", COMMITS).agg(F.max("batch")).first()[0] or 0
 
-    def add(self, docs: DataFrame, force: bool = False) -> int:
+    def add(self, docs: DataFrame, force: bool = False, gone: DataFrame | None = None) -> int:
         """Takes up documents (doc_path, text, checksum) that are new or changed; how many they were.
 
+        Documents of gone (doc_path) that are not among docs are removed in the same commit, so that no reader sees one without the other.
+
         Of rows with one path the one of the greatest checksum counts; a null path is left out. A text without a passage is
         kept without one.
         """
@@ -111,15 +113,24 @@ class Store:
         batch, run = self.last_batch() + 1, uuid.uuid4().hex
         fresh = stored(vault.parsed(one), "changed")
         n = fresh.count()
+        mark = lambda df: df.withColumns({"batch": F.lit(batch).cast("long"), "run": F.lit(run)})
+        entries = mark(fresh.withColumn("removed", F.lit(False))).select("doc_path", "checksum", "removed", "batch", "run")
+        lost = None
+        if gone is not None:
+            out = gone.select("doc_path").distinct().join(docs.select("doc_path"), "doc_path", "left_anti")
+            lost = stored(self.catalogue().filter("not removed").join(out, "doc_path", "left_semi").select("doc_path", "checksum"), "gone")
+            lost = None if lost.isEmpty() else lost
+        if lost is not None:
+            entries = entries.unionByName(mark(lost.withColumn("removed", F.lit(True))))
         if n:
-            mark = lambda df: df.withColumns({"batch": F.lit(batch).cast("long"), "run": F.lit(run)})
             tokens = C.of_documents(fresh, **self.shape).withColumn("t", T.tokens(F.col("content")))
             self._append("documents", mark(fresh))
             self._append("chunks", mark(tokens.withColumn("n_tokens", F.size("t"))))
             terms = tokens.select("doc_path", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_path", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
             self._append("postings", mark(terms))
             self._append("facts", mark(X.extracted(fresh).withColumn("doc_path", F.col("source"))))
-            self._enter(mark(fresh.withColumn("removed", F.lit(False))), batch, run)
+        if n or lost is not None:
+            self._enter(entries, batch, run)
         dropped(fresh)
         return n
 
@@ -135,10 +146,10 @@ class Store:
         return n
 
     def sync(self, docs: DataFrame) -> tuple[int, int]:
-        """Makes the index hold exactly docs: (documents taken up, documents removed)."""
+        """Makes the index hold exactly docs, in one commit: (documents taken up, documents removed)."""
         vanished = self.catalogue().filter("not removed").join(docs.select("doc_path"), "doc_path", "left_anti")
-        gone = self.forget(vanished)
-        return self.add(docs), gone
+        vanished = stored(vanished.select("doc_path"), "vanished")
+        return self.add(docs, gone=vanished), vanished.count()
 
     def difference(self, docs: DataFrame) -> DataFrame:
         """(doc_path, state): new, changed, deleted or unchanged, of docs (doc_path, checksum) against the index."""

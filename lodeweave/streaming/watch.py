@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeweave.operators.store import Store
+from lodeweave.session import dropped, stored
+from lodeweave.streaming import listing
 
 
 def follow(docs: DataFrame, store: Store, checkpoint: str, once: bool = True, every: str = "5 seconds") -> StreamingQuery:
     """Takes a stream of documents (doc_path, text, checksum) up into store, batch by batch.
 
     A batch that runs again after a failure changes nothing, as its checksums are known. Files that vanish are
-    no events of a stream: Store.sync over a listing removes them.
+    no events of Spark's file source: mirror() follows a stream that has them.
     """
 
     def take(batch: DataFrame, _: int) -> None:
@@ -23,6 +25,21 @@ def follow(docs: DataFrame, store: Store, checkpoint: str, once: bool = True, ev
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def mirror(changes: DataFrame, store: Store, checkpoint: str, once: bool = True, every: str = "5 seconds") -> StreamingQuery:
+    """Makes store follow a folder's stream of changes (listing.changes): files written again are taken up anew, files that are gone are forgotten.
+
+    Each batch is one commit of the store. A batch that runs again after a failure changes nothing.
+    """
+
+    def take(batch: DataFrame, _: int) -> None:
+        fresh = stored(batch, "changes")
+        store.add(fresh.filter(F.col("state") == listing.UPSERT), gone=fresh.filter(F.col("state") == listing.GONE))
+        dropped(fresh)
+
+    writer = changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def usage(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", at: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
     """(start, by, n, total): uses a window of time and kind; events that come later than late after the newest are out."""
     timed = events.withWatermark(at, late) if events.isStreaming else events
