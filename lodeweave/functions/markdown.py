@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEADING = r"^#{1,6}\s+."
-
+from lodeweave.functions.text import let
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once: what a lambda takes from outside is computed again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+HEADING = r"^#{1,6}\s+."
 
 
 def front_matter(text: Column) -> Column:

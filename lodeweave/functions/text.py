@@ -48,6 +48,11 @@ LEXICAL_CUES = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda takes from outside is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column, english: bool = False) -> Column:
     """Lower-case runs of letters, digits and underscores, without stop words and single characters."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
@@ -218,3 +223,54 @@ def dense_windows(words: Column, size: int = 200, stride: int = 150) -> Column:
     n = F.size(words)
     starts = F.when(n > size, F.sequence(F.lit(0), F.greatest(F.lit(1), n - (size - stride)) - 1, F.lit(stride))).otherwise(F.array(F.lit(0)))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice(words, s + 1, size), " ").alias("content")))
+
+
+def bounded_windows(text: Column, size: int, overlap: int, lines: bool = False) -> Column:
+    """Structs (start, end, low, high) of word windows: their words, and their characters in the text itself.
+
+    With lines a window that is not the last ends at the last line break in its second half, if there is one, and the next
+    starts overlap words before that end, or one word on. So each start hangs on the end before: a fold over the
+    words carries start and character together, and no word is looked at twice. A null text, and one of white space, has none.
+    """
+    body = F.coalesce(text, F.lit(""))
+    lead = F.char_length(F.regexp_extract(body, r"^\s*", 0))
+    return let(F.struct(lead.alias("lead"), F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0)).alias("words")), lambda t: _windows(t["lead"], t["words"], size, overlap, lines))
+
+
+def _windows(lead: Column, words: Column, size: int, overlap: int, lines: bool) -> Column:
+    n = F.size(words)
+    number = lambda c: c.cast("int")
+    breaks = F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit("\n")) & (i < n - 1), i + 1)), lambda i: i.isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,low:int,high:int>>")
+    first = F.struct(number(F.lit(0)).alias("start"), number(lead).alias("at"), none.alias("out"))
+
+    def step(state: Column, own_breaks: Column) -> Column:
+        start = state["start"]
+        full = F.least(start + size, n)
+        last = F.array_max(F.filter(own_breaks, lambda b: (b >= start + max(1, size // 2)) & (b <= full))) if lines else F.lit(None).cast("int")
+        end = F.when(full < n, F.coalesce(last, full)).otherwise(full)
+        after = F.greatest(start + 1, end - overlap) if lines else start + max(1, size - overlap)
+        done = (end >= n) if lines else (after >= n)
+        own = F.regexp_replace(F.array_join(F.slice(words, start + 1, end - start), ""), r"\s+$", "")
+        window = F.struct(number(start).alias("start"), number(end).alias("end"), number(state["at"]).alias("low"), number(state["at"] + F.char_length(own)).alias("high"))
+        moved = state["at"] + F.char_length(F.array_join(F.slice(words, start + 1, after - start), ""))
+        return F.struct(number(F.when(done, F.lit(None)).otherwise(after)).alias("start"), number(moved).alias("at"), F.concat(state["out"], F.array(window)).alias("out"))
+
+    def fold(own_breaks: Column) -> Column:
+        each = lambda state, _: F.when(state["start"].isNull(), state).otherwise(step(state, own_breaks))
+        return F.aggregate(F.sequence(F.lit(1), n), first, each, lambda state: state["out"])
+
+    return F.when(n > 0, let(breaks, fold)).otherwise(none)
+
+
+def merged_spans(spans: Column) -> Column:
+    """The union of spans (low, high) as spans in order that neither meet nor touch."""
+    none = F.array().cast("array<struct<low:int,high:int>>")
+    one = lambda low, high: F.array(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high")))
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), one(last["low"], F.greatest(last["high"], s["high"])))
+        return F.when((F.size(out) > 0) & (s["low"] <= last["high"]), joined).otherwise(F.concat(out, one(s["low"], s["high"])))
+
+    return F.aggregate(F.array_sort(spans), none, step)

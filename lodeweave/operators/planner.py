@@ -13,6 +13,7 @@ from lodeweave.operators import filters as M
 from lodeweave.operators import graph, hybrid, kept
 from lodeweave.operators import ranking as R
 from lodeweave.operators import retrieval as X
+from lodeweave.session import stored
 
 MODES, EXPANSIONS, PARENTS = ("bm25", "hybrid"), (None, "rm3"), (None, "section", "doc")
 SIGNALS = ("kg", "links", "structural", "recency", "link_pop")
@@ -126,12 +127,13 @@ def inside(text: Column, date: Column, reference: str) -> Column:
 
 
 def retrieve(corpus: Corpus, queries: DataFrame, request: Request = Request()) -> DataFrame:
-    """(item_id, rank, score, provenance, chunk_id, doc_path, content, children) of each query (item_id, text).
+    """(item_id, rank, score, provenance, chunk_id, doc_path, content, children, spans, covered) of each query (item_id, text).
 
     Filters choose passages before any score is added up, so pools hold passing ones alone and need no deepening. In mode hybrid the pool's order and
     the signals are fused; a document's signal votes for its best passage of the pool. With a reference date passages of documents
     dated in the windows that a query names go up. With a parent the ranked passages are grouped under their section or
-    document: its best score, and the children in order. Contents are read for the passages that are returned.
+    document: its best score, the children in order, where each stands in the parent's text (low:high, code points), and the union
+    of these. Contents are read for the passages that are returned.
     A query without a term that the corpus knows has no row.
     """
     index = corpus.index
@@ -149,17 +151,27 @@ def retrieve(corpus: Corpus, queries: DataFrame, request: Request = Request()) -
     label = request.mode + ("+rm3" if request.expansion else "")
     if not request.parent:
         shown = index.named(found.filter(F.col("rank") <= request.k), ["chunk_id", "doc_path", "content"])
-        return shown.select("item_id", "rank", "score", F.lit(label).alias("provenance"), "chunk_id", "doc_path", "content", F.lit(None).cast("string").alias("children"))
-    placed = index.named(found, ["chunk_id", "doc_path", "section_id"])
+        return shown.select("item_id", "rank", "score", F.lit(label).alias("provenance"), "chunk_id", "doc_path", "content", *(F.lit(None).cast("string").alias(c) for c in ("children", "spans", "covered")))
+    placed = index.named(found, ["chunk_id", "doc_path", "section_id", "ordinal", "start", "content"])
     key = "section_id" if request.parent == "section" else "doc_path"
-    groups = X.parents(placed, parent=key).filter(F.col("rank") <= request.k)
-    over = texts(index, groups.select(key).distinct(), key)
-    rows = groups.join(over, key)
-    return rows.select("item_id", "rank", "score", F.lit(label + "+parent").alias("provenance"), F.col(key).alias("chunk_id"), "doc_path", "content", "children")
+    best = placed.groupBy("item_id", key).agg(F.max("score").alias("score"), F.min("rank").alias("first"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("first"))).filter(F.col("rank") <= request.k).drop("first")
+    rows = placed.drop("score").withColumnRenamed("rank", "place").join(best, ["item_id", key])
+    over = stored(texts(index, best.select(key).distinct(), key), "parents")
+    sections = over.select(F.col(key), F.explode("sections").alias("s")).select(key, "s.ordinal", "s.offset", "s.content")
+    rows = rows.withColumn("size", F.char_length("content")).drop("content").join(sections, [key, "ordinal"])
+    low = F.col("offset") + F.when(F.col("start") > 0, F.char_length(F.array_join(F.slice(F.split("content", " "), 1, F.col("start")), " ")) + 1).otherwise(0)
+    one = F.struct("place", "chunk_id", low.cast("int").alias("low"), (low + F.col("size")).cast("int").alias("high"))
+    rows = rows.groupBy("item_id", key, "score", "rank").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat(x["low"].cast("string"), F.lit(":"), x["high"].cast("string"))), ",")
+    merged = T.merged_spans(F.transform("c", lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"))))
+    rows = rows.join(over.drop("sections"), key)
+    children = F.array_join(F.transform("c", lambda x: x["chunk_id"]), ",").alias("children")
+    return rows.select("item_id", "rank", "score", F.lit(label + "+parent").alias("provenance"), F.col(key).alias("chunk_id"), "doc_path", "content", children, shown(F.col("c")).alias("spans"), shown(merged).alias("covered"))
 
 
 def texts(index: kept.Index, keys: DataFrame, key: str) -> DataFrame:
-    """(key, doc_path, content): the texts of sections or documents, their passages in order with what windows share dropped."""
+    """(key, doc_path, content, sections): the texts of sections or documents, their passages in order with what windows share dropped, and where each section (ordinal, offset, content) begins."""
     own = index.passages().join(keys, key, "left_semi")
     words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
     pieces = F.array_sort(F.collect_list(F.struct("ordinal", "start", words.alias("w"), "content")))
@@ -168,5 +180,7 @@ def texts(index: kept.Index, keys: DataFrame, key: str) -> DataFrame:
     merge = lambda have, p: F.concat(have, F.slice(p["w"], F.greatest(F.lit(0), F.size(have) - p["start"]) + 1, F.size(p["w"]) + 1))
     whole = F.when(F.size("p") == 1, F.element_at("p", 1)["content"]).otherwise(F.array_join(F.aggregate("p", begin, merge), " "))
     each = section.select(*dict.fromkeys([key, "doc_path", "ordinal"]), whole.alias("content"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content"))), lambda s: s["content"]), "\n\n")
-    return each.groupBy(*dict.fromkeys([key, "doc_path"])).agg(joined.alias("content"))
+    whole = each.groupBy(*dict.fromkeys([key, "doc_path"])).agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("s"))
+    before = lambda i: F.aggregate(F.slice("s", 1, i), F.lit(0), lambda n, x: n + F.char_length(x["content"]) + 2)
+    sections = F.transform("s", lambda x, i: F.struct(x["ordinal"].alias("ordinal"), before(i).alias("offset"), x["content"].alias("content")))
+    return whole.select(*dict.fromkeys([key, "doc_path"]), F.array_join(F.transform("s", lambda x: x["content"]), "\n\n").alias("content"), sections.alias("sections"))

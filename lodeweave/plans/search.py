@@ -127,10 +127,22 @@ def retrieve_hybrid(t):
 _WHOLE = f"whole AS ({_OWN} SELECT substr(sha256(doc_path || ':parent:' || section), 1, 16) AS section_id, CASE WHEN heading <> '' AND len(wl) <= 400 OR len(wl) = 0 THEN whole ELSE array_to_string(wl, ' ') END AS content FROM ws)"
 
 
-@query(f"""{_INDEX}, {_WHOLE}, a AS ({top_sql('s', 20)}), l AS (SELECT a.item_id, a.score, a.rank, pn.chunk_id, pn.section_id, pn.doc_path FROM a JOIN pn ON pn.pid = a.doc_id),
-g AS (SELECT item_id, section_id, any_value(doc_path) AS doc_path, max(score) AS score, min(rank) AS first, string_agg(chunk_id, ',' ORDER BY rank) AS children FROM l GROUP BY item_id, section_id)
-SELECT item_id, section_id AS chunk_id, doc_path, score, children, length(content) AS n_chars, CAST(row_number() OVER (PARTITION BY item_id ORDER BY first) AS INTEGER) AS rank FROM g JOIN whole USING (section_id) QUALIFY rank <= 5""")
+@query(f"""{_INDEX}, {_WHOLE}, a AS ({top_sql('s', 20)}), l AS (SELECT a.item_id, a.score, a.rank, pn.chunk_id, pn.section_id, pn.doc_path, CASE WHEN pn.start = 0 THEN 0 ELSE length(array_to_string(string_split(whole.content, ' ')[1:pn.start], ' ')) + 1 END AS low, length(pn.content) AS size FROM a JOIN pn ON pn.pid = a.doc_id JOIN whole USING (section_id)),
+g AS (SELECT item_id, section_id, any_value(doc_path) AS doc_path, max(score) AS score, min(rank) AS first, string_agg(chunk_id, ',' ORDER BY rank) AS children, string_agg(low || ':' || (low + size), ',' ORDER BY rank) AS spans FROM l GROUP BY item_id, section_id)
+SELECT item_id, section_id AS chunk_id, doc_path, score, children, spans, length(content) AS n_chars, CAST(row_number() OVER (PARTITION BY item_id ORDER BY first) AS INTEGER) AS rank FROM g JOIN whole USING (section_id) QUALIFY rank <= 5""")
 def retrieve_sections(t):
-    """Sections whole, by their best passage."""
+    """Sections whole, by their best passage, with where their passages stand."""
     found = planner.retrieve(corpus(t), asked(t), planner.Request(parent="section"))
-    return found.select("item_id", "chunk_id", "doc_path", "score", "children", F.char_length("content").cast("long").alias("n_chars"), "rank")
+    return found.select("item_id", "chunk_id", "doc_path", "score", "children", "spans", F.char_length("content").cast("long").alias("n_chars"), "rank")
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, length(regexp_extract(text, '^\s*')) AS lead, regexp_extract_all(text, '\S+\s*') AS p FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, lead, p, len(p) AS n, list_filter(range(1, len(p)), lambda i: contains(p[i], chr(10))) AS br FROM d WHERE len(p) > 0),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS start, CASE WHEN n <= 120 THEN n ELSE coalesce(list_max(list_filter(br, lambda x: x >= 60 AND x <= 120)), 120) END AS stop FROM b
+  UNION ALL SELECT r.doc_id, greatest(start + 1, stop - 20), CASE WHEN n <= greatest(start + 1, stop - 20) + 120 THEN n ELSE coalesce(list_max(list_filter(br, lambda x: x >= greatest(start + 1, stop - 20) + 60 AND x <= greatest(start + 1, stop - 20) + 120)), greatest(start + 1, stop - 20) + 120) END FROM r JOIN b USING (doc_id) WHERE stop < n)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, CAST(lead + length(array_to_string(p[1:start], '')) AS INTEGER) AS low,
+  CAST(lead + length(array_to_string(p[1:start], '')) + length(regexp_replace(array_to_string(p[start + 1:stop], ''), '\s+$', '')) AS INTEGER) AS high FROM r JOIN b USING (doc_id)""")
+def line_windows(t):
+    """Windows of whole texts that end at line breaks, by words and by characters."""
+    each = t.documents.select("doc_id", F.explode(T.bounded_windows(F.col("text"), 120, 20, lines=True)).alias("w"))
+    return each.select("doc_id", "w.start", F.col("w.end").alias("stop"), "w.low", "w.high")

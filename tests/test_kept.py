@@ -176,3 +176,42 @@ def test_parents_hold_their_passages(spark, corpus):
             for child in r["children"].split(","):
                 words = own[child]["content"].split()
                 assert " ".join(words) in " ".join(r["content"].split())
+            spans = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",")]
+            assert [r["content"][a:b] for a, b in spans] == [own[c]["content"] for c in r["children"].split(",")]
+            covered = [tuple(map(int, x.split(":"))) for x in r["covered"].split(",")]
+            assert {i for a, b in spans for i in range(a, b)} == {i for a, b in covered for i in range(a, b)} and all(x[1] < y[0] for x, y in zip(covered, covered[1:]))
+
+
+def windows_of(text, size, overlap, lines):
+    """One window after the other, over the words' places."""
+    at = [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text or "")]
+    breaks = [i for i in range(1, len(at)) if "\n" in text[at[i - 1][1] : at[i][0]]]
+    out, start = [], 0
+    while start < len(at):
+        end = min(start + size, len(at))
+        if lines and end < len(at):
+            end = max([b for b in breaks if start + max(1, size // 2) <= b <= end], default=end)
+        out.append((start, end, at[start][0], at[end - 1][1]))
+        if lines and end == len(at):
+            break
+        start = max(start + 1, end - overlap) if lines else start + max(1, size - overlap)
+    return out
+
+
+def test_windows_that_end_at_line_breaks(spark):
+    rng = __import__("random").Random(2)
+    texts = ["".join(rng.choice(["w", "ab ", "é𝒳 ", "\n", " \n\n ", "c"]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    texts += [None, "", "  \n ", "one", "no break " * 40, "\n".join("abc"), "line of words\n" * 6000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for size, overlap in ((10, 3), (4, 3), (1, 0), (400, 50)):
+        for lines in (False, True):
+            if size < 100 and lines:
+                some = docs.filter("length(text) < 5000 or text is null")
+            else:
+                some = docs if size > 100 else docs.filter("length(text) < 5000 or text is null")
+            for r in some.select("i", text_windows(size, overlap, lines)).collect():
+                assert [tuple(w) for w in r["w"]] == windows_of(texts[r["i"]], size, overlap, lines)
+
+
+def text_windows(size, overlap, lines):
+    return text.bounded_windows(F.col("text"), size, overlap, lines).alias("w")
