@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections import Counter
@@ -23,7 +24,7 @@ REMEMBERED = 150_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words that are encoded together, one a line: letters of Latin-1, which lower-casing and NFC treat one by one, then ASCII marks but the apostrophe.
 _LATIN, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
-_LETTERS, _MARKED = re.compile(f"^{_LATIN}$", re.M), re.compile(f"^({_LATIN})({_MARKS})?$", re.M)
+_LETTERS, _MARKED = re.compile(f"^{_LATIN}$", re.M), re.compile(f"^({_LATIN})({_MARKS})$", re.M)
 _OTHER = re.compile(f"^(?!{_LATIN}(?:{_MARKS})?$).+$", re.M)
 _GAP = re.compile("[ \n\t\r]")
 #: Characters of text that are worked on at once, at least.
@@ -63,7 +64,7 @@ class WordCoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words = Generations()
+        self.words, self.raw = Generations(), {"": b""}
 
     def direct(self, some: set[str]) -> None:
         words = list(some)
@@ -103,19 +104,27 @@ class WordCoder:
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        lines = "\n".join(set().union(*split))
-        found, other = _MARKED.findall(lines), _OTHER.findall(lines)
+        if len(self.raw) > REMEMBERED:
+            self.raw = {"": b""}
+        if fresh := set().union(*split).difference(self.raw):
+            self.read(fresh)
+        get = self.raw.__getitem__
+        return (b"".join(map(get, words)) for words in split)
+
+    def read(self, fresh: set[str]) -> None:
+        """Puts the ids of words as texts write them into self.raw."""
+        lines = "\n".join(fresh)
+        bare, marked, other = _LETTERS.findall(lines), _MARKED.findall(lines), _OTHER.findall(lines)
         # words that differ in case or in marks at their end share one core
-        cores = "\n".join([c for c, _ in found]).lower().split("\n") if found else []
-        marks = {m for _, m in found}
+        cores = "\n".join([*bare, *(c for c, _ in marked)]).lower().split("\n") if bare or marked else []
+        marks = {m for _, m in marked}
         if new := self.words.missing({*cores, *marks, *other}):
             self.learn(new)
         known = self.words.new
-        table = {"": b""}
-        table.update((w, known[w]) for w in other)
-        table.update((c + m, known[low] + known[m] if m else known[low]) for (c, m), low in zip(found, cores, strict=True))
-        get = table.__getitem__
-        return (b"".join(map(get, words)) for words in split)
+        get = known.__getitem__
+        self.raw.update(zip(other, map(get, other)))
+        self.raw.update(zip(bare, map(get, cores)))
+        self.raw.update((c + m, known[low] + known[m]) for (c, m), low in zip(marked, cores[len(bare) :], strict=True))
 
 
 def _parted(text: str) -> Iterator[str]:
@@ -149,6 +158,13 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _tokenizer_path(tokenizer)
         code = kept(f"coder {path}", lambda: WordCoder(path))
+        gc.disable()  # nothing here refers back to itself, and a collection looks at every remembered word
+        try:
+            yield from parts(code, batches)
+        finally:
+            gc.enable()
+
+    def parts(code: WordCoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, AT_ONCE):
                 rows, piece, start, length, crc, held = [], [], [], [], [], []
