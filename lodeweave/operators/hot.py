@@ -37,6 +37,15 @@ class Board:
         if len(hot := self.tier(1)) > HOT:
             self._archive(min(reversed(hot), key=self.score))
 
+    def use(self, action: str | None, chunk: str | None, path: str | None, content: str | None, base: float | None) -> None:
+        """One use: hit, pin or tick. A null action, and any but a tick without a passage, does nothing; a null score is 0.5."""
+        if action == "tick":
+            self.tick()
+        elif chunk is not None and action == "hit":
+            self.hit(chunk, path or "", content or "", 0.5 if base is None or base != base else base)
+        elif chunk is not None and action == "pin":
+            self.pin(chunk)
+
     def hit(self, chunk: str, path: str, content: str, base: float) -> None:
         """A use: a new passage becomes hot; one whose score reaches PROMOTE is pinned."""
         e = self.entries.get(chunk)
@@ -91,12 +100,7 @@ def boards(uses: DataFrame, board: str = "board", order: str = "at") -> DataFram
                     if state is not None:
                         yield out(True)
                     now, state = name, Board()
-                if action == "tick":
-                    state.tick()
-                elif chunk is not None and action == "hit":
-                    state.hit(chunk, path or "", content or "", 0.5 if base is None or base != base else base)
-                elif chunk is not None and action == "pin":
-                    state.pin(chunk)
+                state.use(action, chunk, path, content, base)
             if state is not None and state.gone:
                 yield out(False)
         if state is not None:
