@@ -11,6 +11,7 @@ from lodeweave.functions import text as T
 from lodeweave.operators import filters, graph, kept, planner
 from lodeweave.operators import ranking as R
 from lodeweave.operators import retrieval as X
+from lodeweave.operators import similar as Y
 from lodeweave.operators import state as S
 from lodeweave.plans.catalogue import _POST, _TERMS, _TRIPLES, _WORDS, best, documents, query, scores_sql, tok, top_sql, triples
 
@@ -219,6 +220,30 @@ def related_docs(t):
     return dots.select("doc_a", "doc_b", F.round(F.col("dot") / (F.col("a") * F.col("b")), 4).alias("similarity")).filter("similarity > 0.3")
 
 
+_BAG = f"""bag AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN len(t) > 0 THEN array_to_string(list_sort(t), ' ') ELSE CAST(doc_id AS VARCHAR) || ' ' END) AS class_id FROM (SELECT doc_id, {tok('text')} AS t FROM documents))"""
+
+
+@query(f"WITH {_BAG} SELECT doc_id, class_id FROM bag")
+def doc_classes(t):
+    """Documents whose terms are equal, by the first of them."""
+    index = documents(t)
+    named = index.named(Y.classes(index), ["doc_id"]).withColumnRenamed("class_pid", "pid").withColumnRenamed("doc_id", "member")
+    return index.named(named, ["doc_id"]).select(F.col("member").alias("doc_id"), F.col("doc_id").alias("class_id"))
+
+
+@query(f"""WITH {_POST}, {_BAG}, v AS (SELECT doc_id, term, round(tf / dl::DOUBLE, 4) * (ln((st.n_docs + 1) / (df + 1)::DOUBLE) + 1) AS w FROM post JOIN vocab USING (term) JOIN bag USING (doc_id), st WHERE doc_id = class_id),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY doc_id)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 4) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+GROUP BY 1, 2 HAVING similarity >= 0.5""")
+def doc_similarity(t):
+    """TF-IDF cosines of at least 0.5 between all classes of equal documents (doc_classes names their members)."""
+    index = documents(t)
+    first = Y.classes(index).filter("pid = class_pid").select("pid")
+    found = Y.pairs(Y.weights(index).join(first, "pid", "left_semi"), 0.5)
+    found = index.named(found.withColumnRenamed("a", "pid"), ["doc_id"]).withColumnsRenamed({"doc_id": "doc_a", "b": "pid"})
+    return index.named(found, ["doc_id"]).select("doc_a", F.col("doc_id").alias("doc_b"), "similarity")
+
+
 # --- graph and state ---
 @query(f"WITH {_TRIPLES} SELECT count(*) AS triple_count, count(DISTINCT subject) AS entity_count, count(DISTINCT substr(id, 1, 1)) AS source_count FROM tr")
 def kg_stats(t):
