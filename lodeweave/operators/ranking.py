@@ -27,7 +27,7 @@ def bm25(terms: DataFrame, post: DataFrame, vocab: DataFrame, k1: float = K1, b:
     return part.groupBy("item_id", "doc_id").agg(F.round(F.sum("c"), 6).alias("score"))
 
 
-def top(scores: DataFrame, k: int, by: str = "item_id", tie: str = "doc_id", score: str = "score") -> DataFrame:
+def top(scores: DataFrame, k: int, by: str | list[str] = "item_id", tie: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best of each group with rank from 1; ties to the smaller key."""
     order = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

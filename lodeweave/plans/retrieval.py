@@ -10,10 +10,12 @@ from lodeweave.functions import stem as P
 from lodeweave.functions import text as T
 from lodeweave.operators import filters, graph, kept, planner
 from lodeweave.operators import ranking as R
+from lodeweave.operators import resampled as Z
 from lodeweave.operators import retrieval as X
 from lodeweave.operators import similar as Y
 from lodeweave.operators import state as S
-from lodeweave.plans.catalogue import _POST, _TERMS, _TRIPLES, _WORDS, best, documents, query, scores_sql, tok, top_sql, triples
+from lodeweave.plans.catalogue import _POST, _TERMS, _TRIPLES, _WORDS, best, documents, grep_baseline, query, scores_sql, tok, top_sql, triples
+from lodeweave.session import stored
 
 # --- queries' texts ---
 _ASKED = """(SELECT item_id, ['report q' || (item_id % 4 + 1) || ' ' || (1988 + item_id), 'Q4' || (2000 + item_id) || ' numbers', 'from 1985 to 2001', 'who is Bob in ' || (1980 + item_id), 'rooms 2100 and 2050'][1 + item_id % 5] || ' #Ops tagged Legal about security ' || ['Review of the RFC', 'spec note', 'nothing', 'adrs', '"Big Plan" and ''small one'''][1 + item_id % 5] AS q FROM benchmark)"""
@@ -244,6 +246,43 @@ def doc_similarity(t):
     return index.named(found, ["doc_id"]).select("doc_a", F.col("doc_id").alias("doc_b"), "similarity")
 
 
+# --- evaluation over samples of the corpus ---
+_SYSTEMS, _SAMPLES, _SHARE = {"by_length": (1.2, 0.75), "flat": (1.2, 0.0)}, 10, 0.5
+_RESAMPLED = f"""p0 AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pid, {tok('text')} AS t FROM documents),
+d AS (SELECT sample, doc_id, pid, t, len(t) AS dl FROM p0, (SELECT unnest(range({_SAMPLES})) AS sample) WHERE substr(md5(pid || ':' || sample), 1, 4) < '8000'),
+st AS (SELECT sample, count(*) AS n_docs, avg(dl) AS avgdl FROM d WHERE dl > 0 GROUP BY sample), {_TERMS},
+post AS (SELECT sample, doc_id, dl, term, count(*) AS tf FROM (SELECT sample, doc_id, dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+vocab AS (SELECT sample, term, greatest(ln((any_value(n_docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, any_value(avgdl) AS avgdl FROM post JOIN st USING (sample) GROUP BY ALL),
+s AS (SELECT sample, system, item_id, doc_id, round(sum(qtf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - b + b * dl / avgdl))), 6) AS score FROM post JOIN vocab USING (sample, term) JOIN qt USING (term), (VALUES ('by_length', 0.75::DOUBLE), ('flat', 0::DOUBLE)) AS x(system, b) GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY sample, system, item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
+q AS (SELECT item_id, sample, system, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN d AS m ON m.doc_id = d.doc_id, (VALUES ('by_length'), ('flat')) AS x(system)),
+j AS (SELECT q.*, a.rank, row_number() OVER (PARTITION BY q.sample, q.system, q.item_id ORDER BY q.doc_id) AS best FROM q LEFT JOIN a USING (sample, system, item_id, doc_id)),
+e AS (SELECT sample, system, item_id, count(rank) / count(*)::DOUBLE AS recall, coalesce(1.0::DOUBLE / min(rank), 0) AS rr, sum(coalesce(1 / log2(rank + 1), 0)) / sum(CASE WHEN best <= 10 THEN 1 / log2(best + 1) ELSE 0 END) AS ndcg FROM j GROUP BY ALL)"""
+
+
+def resampled(t):
+    """Each query's quality in each sample by each system, against the documents that hold the query's text."""
+    index = documents(t)
+    found = Z.runs(index, kept.query_terms(t.benchmark, index.analyzer), _SYSTEMS, _SAMPLES, _SHARE, 10)
+    ids = index.passages().select("doc_id", "pid")
+    qrels = grep_baseline(t).join(ids, "doc_id").select("item_id", "pid", F.lit(1).alias("grade"))
+    return stored(Z.judged(found, qrels, list(_SYSTEMS), _SAMPLES, _SHARE, 10), "judged")
+
+
+@query(f"WITH {_RESAMPLED} SELECT sample, system, count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM e GROUP BY ALL")
+def resampled_quality(t):
+    """Ten samples of half the documents, each with statistics of its own, from one read of the asked postings."""
+    return Z.averages(resampled(t))
+
+
+@query(f"""WITH {_RESAMPLED}, w AS (SELECT sample, unnest(['recall', 'rr', 'ndcg']) AS metric, unnest([sum(s * recall) / count(*) * 2, sum(s * rr) / count(*) * 2, sum(s * ndcg) / count(*) * 2]) AS d0 FROM (SELECT *, CASE WHEN system = 'flat' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM e) GROUP BY sample),
+z AS (SELECT metric, round(d0, 9) AS d FROM w)
+SELECT metric, count(*) AS n_samples, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses FROM z GROUP BY metric""")
+def resampled_differences(t):
+    """What length normalisation is worth: paired differences on the same samples and queries."""
+    return Z.differences(resampled(t), "by_length", "flat")
+
+
 # --- graph and state ---
 @query(f"WITH {_TRIPLES} SELECT count(*) AS triple_count, count(DISTINCT subject) AS entity_count, count(DISTINCT substr(id, 1, 1)) AS source_count FROM tr")
 def kg_stats(t):
