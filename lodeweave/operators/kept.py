@@ -134,10 +134,10 @@ class Index:
         own = pids.select("pid").distinct().withColumn("span", F.floor(F.col("pid") / SPAN).cast("int"))
         return every.join(own, ["span", "pid"], "left_semi").drop("span")
 
-    def named(self, ranked: DataFrame, columns: list[str]) -> DataFrame:
-        """ranked (pid, ...) with columns of the passages, without pid: contents are read when the best are known."""
+    def named(self, ranked: DataFrame, columns: list[str], keep: bool = False) -> DataFrame:
+        """ranked (pid, ...) with columns of the passages, without pid unless it is to be kept: contents are read when the best are known."""
         known = self.spark.read.schema(self._kind).parquet(f"{self.root}/passages").select("span", "pid", *columns)
-        return ranked.withColumn("span", F.floor(F.col("pid") / SPAN).cast("int")).join(known, ["span", "pid"]).drop("span", "pid")
+        return ranked.withColumn("span", F.floor(F.col("pid") / SPAN).cast("int")).join(known, ["span", "pid"]).drop("span", *([] if keep else ["pid"]))
 
     def lists(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, block, n, cf, most, top_tf, least_dl, p) of all terms, or of terms (term) out of their folders alone."""
