@@ -11,7 +11,8 @@ from lodeweave.session import stored
 
 def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """(term, key, tf, dl): one row a term and document; documents without a term have none."""
-    each = docs.select(key, T.tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    dealt = docs.select(key, body).repartition(key)  # texts move once, and their words are counted where they are
+    each = dealt.select(key, T.tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
     return each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
