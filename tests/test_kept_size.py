@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.operators import kept
-from tests.test_kept import read_plan
+from lodeweave.plans import catalogue
+from lodeweave.plans import search as _  # noqa: F401  registers all queries
+from tests.test_kept import SMALL, read_plan
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +76,7 @@ def test_marks_of_any_place(spark, places):
     lists = spark.createDataFrame([("t", b, [(i, 1, 9) for i in range(128)]) for b in range(2)], "term string, block long, p array<struct<at:int,tf:int,dl:int>>")
     marks = kept.marked(spark.createDataFrame([(p,) for p in places], "pid long"))
     assert sorted(r["pid"] for r in kept.unrolled(kept.among(lists, marks)).collect()) == sorted(set(places))
+
+
+def test_parents_are_named_by_the_index(spark):
+    assert not any("documents.parquet" in f for f in catalogue.QUERIES["parent_groups"](spark, SMALL).inputFiles())
