@@ -80,3 +80,8 @@ def test_marks_of_any_place(spark, places):
 
 def test_parents_are_named_by_the_index(spark):
     assert not any("documents.parquet" in f for f in catalogue.QUERIES["parent_groups"](spark, SMALL).inputFiles())
+
+
+def test_texts_with_a_needle_are_sought_in_tasks_by_blocks(spark, monkeypatch):
+    plans = dealt(monkeypatch, lambda: catalogue.grep_baseline(catalogue.Tables(spark, SMALL)))
+    assert any(name == "ranked" and re.search(r"hashpartitioning\(block#\d+L?, \d+\), REPARTITION_BY_NUM", p) for name, p in plans)
