@@ -139,7 +139,8 @@ def retrieve(corpus: Corpus, queries: DataFrame, request: Request = Request()) -
     index = corpus.index
     wanted = None
     if request.filters:
-        passing = M.filtered(corpus.docs, request.filters).select("doc_path").distinct()
+        front = stored(corpus.docs.select("doc_path", "meta"), "front")  # read once from a text, however many conditions ask for it
+        passing = M.filtered(front, request.filters).select("doc_path")
         wanted = index.passages().select("pid", "doc_path").join(passing, "doc_path", "left_semi").select("pid")
     deep = max(request.k, TIME_DEPTH) if request.reference else max(4 * request.k, 20) if request.parent else request.k
     found = ranked(corpus, queries, request, deep, wanted)
