@@ -19,6 +19,8 @@ MODES, EXPANSIONS, PARENTS = ("bm25", "hybrid"), (None, "rm3"), (None, "section"
 SIGNALS = ("kg", "links", "structural", "recency", "link_pop")
 #: Passages that signals may move, and that time may; passages that expansion looks at; documents whose links are walked.
 DEPTH, TIME_DEPTH, RM3_DEPTH, SEEDS = 100, 300, 200, 3
+#: Passages that a model is made of.
+FB_DOCS = 10
 #: Entities of a query that facts are looked up for.
 ENTITIES = 8
 
@@ -57,9 +59,13 @@ class Request:
             raise ValueError(f"unknown signals {sorted(bad)}")
 
 
-def model(index: kept.Index, terms: DataFrame, wanted: DataFrame | None = None, fb_docs: int = 10, fb_terms: int = 20, original: float = 0.5) -> DataFrame:
-    """(item_id, term, weight): the relevance model of each query from its fb_docs best passages, whose texts alone are analysed."""
-    best = index.search(terms, fb_docs, wanted=wanted).withColumnRenamed("pid", "doc_id")
+def model(index: kept.Index, terms: DataFrame, wanted: DataFrame | None = None, fb_docs: int = FB_DOCS, fb_terms: int = 20, original: float = 0.5, found: DataFrame | None = None) -> DataFrame:
+    """(item_id, term, weight): the relevance model of each query from its fb_docs best passages, whose texts alone are analysed.
+
+    found is a search for at least so many that was made before.
+    """
+    found = index.search(terms, fb_docs, wanted=wanted) if found is None else found.filter(F.col("rank") <= fb_docs)
+    best = found.withColumnRenamed("pid", "doc_id")
     texts = index.passages(best.select(F.col("doc_id").alias("pid")))
     post = kept.counted(texts, ["pid"], "content", index.analyzer).withColumnRenamed("pid", "doc_id")
     return X.expansion(terms, best, post, fb_terms, original)
@@ -67,9 +73,10 @@ def model(index: kept.Index, terms: DataFrame, wanted: DataFrame | None = None,
 
 def expanded(index: kept.Index, terms: DataFrame, k: int, wanted: DataFrame | None = None, depth: int = RM3_DEPTH, **how) -> DataFrame:
     """(item_id, pid, score, rank): the second search of RM3. The best passages of the query and those of the model's terms are weighed by the model."""
-    own = model(index, terms, wanted, **how)
     depth = max(depth, k)
-    pool = index.search(terms, depth, wanted=wanted).select("item_id", "pid")
+    found = index.search(terms, max(depth, how.get("fb_docs", FB_DOCS)), wanted=wanted)  # the best of it are the model's
+    own = stored(model(index, terms, wanted, **how, found=found), "model")
+    pool = found.filter(F.col("rank") <= depth).select("item_id", "pid")
     more = index.search(own.withColumn("qtf", F.lit(1)), depth, wanted=wanted).select("item_id", "pid")
     parts = index.contributions(own, pool.union(more).distinct()).join(own, ["item_id", "term"])
     scores = parts.groupBy("item_id", "pid").agg(F.round(F.sum(F.col("weight") * F.col("contribution")), 6).alias("score")).filter("score > 0")

@@ -30,3 +30,17 @@ def test_front_matter_is_read_once_for_all_conditions(corpus, queries, monkeypat
     spec = {"type": ["spec", "note"], "date_from": "2026-02", "tags_any": ["t1"]}
     plans = made(monkeypatch, planner, lambda: planner.retrieve(corpus, queries, planner.Request(filters=spec)))
     assert [name for name, _ in plans].count("front") == 1
+
+
+def test_feedback_searches_twice(corpus, queries, monkeypatch):
+    asked, plain = [], kept.Index.search
+    monkeypatch.setattr(kept.Index, "search", lambda self, terms, k, **how: asked.append(k) or plain(self, terms, k, **how))
+    terms = kept.query_terms(queries, corpus.index.analyzer)
+    got = planner.expanded(corpus.index, terms, 5, depth=7, fb_docs=9)
+    assert asked == [9, 7]
+    own = planner.model(corpus.index, terms, fb_docs=9)
+    pool = plain(corpus.index, terms, 7).select("item_id", "pid").union(plain(corpus.index, own.withColumn("qtf", F.lit(1)), 7).select("item_id", "pid")).distinct()
+    parts = corpus.index.contributions(own, pool).join(own, ["item_id", "term"])
+    best = parts.groupBy("item_id", "pid").agg(F.round(F.sum(F.col("weight") * F.col("contribution")), 6).alias("score"))
+    want = planner.R.top(best.filter("score > 0"), 5, "item_id", "pid")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() > 0
