@@ -86,26 +86,28 @@ def expanded(index: kept.Index, terms: DataFrame, k: int, wanted: DataFrame | No
 def signals(corpus: Corpus, pool: DataFrame, queries: DataFrame, names: tuple[str, ...], as_of: str | None) -> dict[str, DataFrame]:
     """(item_id, pid, score) of each signal: what it says of a document goes to the document's best passage of the pool."""
     first = Window.partitionBy("item_id", "doc_path").orderBy("rank")
-    docs = pool.withColumn("_i", F.row_number().over(first)).filter("_i = 1").select("item_id", "doc_path", "pid")
+    docs = stored(pool.withColumn("_i", F.row_number().over(first)).filter("_i = 1").select("item_id", "doc_path", "pid"), "docs")
+    paths = kept.few(stored(docs.select("doc_path").distinct(), "paths"))  # the texts of others stay where they are
     vote = lambda scores: scores.join(docs, ["item_id", "doc_path"]).select("item_id", "pid", F.round("score", 9).alias("score"))  # noqa: E731  sums of weights in any order are equal
     out = {}
     if "kg" in names:
         asked = queries.select("item_id", F.explode(F.slice(T.query_entities(F.col("text")), 1, ENTITIES)).alias("entity"))
         known = corpus.facts.filter(graph.in_force(as_of)) if as_of else corpus.facts
-        out["kg"] = vote(K.source_scores(asked, known).withColumnRenamed("source", "doc_path"))
+        out["kg"] = vote(K.source_scores(asked, known, within=paths.withColumnRenamed("doc_path", "source")).withColumnRenamed("source", "doc_path"))
+    edges = stored(corpus.edges, "edges") if {"links", "link_pop"} & set(names) else None
     if "links" in names:
         seeds = pool.filter(F.col("rank") <= SEEDS).groupBy("item_id", "doc_path").agg(F.max("score").alias("score"))
-        out["links"] = vote(X.walked(seeds, corpus.edges).select("item_id", "doc_path", "score"))
+        out["links"] = vote(X.walked(seeds, edges).select("item_id", "doc_path", "score"))
     if {"structural", "recency"} & set(names):
         # front matter of the pool's documents alone
-        meta = docs.join(corpus.docs.select("doc_path", "meta").join(docs.select("doc_path").distinct(), "doc_path", "left_semi"), "doc_path")
+        meta = docs.join(stored(corpus.docs.select("doc_path", "meta").join(paths, "doc_path", "left_semi"), "meta"), "doc_path")
         if "structural" in names:
             scored = meta.join(queries.select("item_id", "text"), "item_id")
             out["structural"] = scored.select("item_id", "pid", X.structural(F.col("text"), F.col("meta")).alias("score"))
         if "recency" in names:
             out["recency"] = X.recency(meta.select("item_id", "pid", F.col("meta")["date"].alias("date")), key="pid")
     if "link_pop" in names:
-        out["link_pop"] = vote(docs.select("item_id", "doc_path").join(hybrid.popularity(corpus.edges), "doc_path"))
+        out["link_pop"] = vote(docs.select("item_id", "doc_path").join(hybrid.popularity(edges), "doc_path"))
     return out
 
 
@@ -121,8 +123,8 @@ def ranked(corpus: Corpus, queries: DataFrame, request: Request, k: int, wanted:
     if request.mode == "bm25":
         return first(k)
     pool = first(max(k, DEPTH))
-    paths = corpus.index.passages().select("pid", "doc_path")
-    placed = pool.join(paths, "pid")
+    pool = stored(pool, "pool")
+    placed = stored(corpus.index.named(pool, ["doc_path"], keep=True), "placed")
     votes = signals(corpus, placed, queries, request.signals, request.as_of)
     intents = queries.select("item_id", T.intent(F.col("text")).alias("intent"))
     return hybrid.hybrid(pool, votes, intents, k, request.alpha, key="pid").select("item_id", "pid", "score", "rank")

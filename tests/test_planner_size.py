@@ -44,3 +44,23 @@ def test_feedback_searches_twice(corpus, queries, monkeypatch):
     best = parts.groupBy("item_id", "pid").agg(F.round(F.sum(F.col("weight") * F.col("contribution")), 6).alias("score"))
     want = planner.R.top(best.filter("score > 0"), 5, "item_id", "pid")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() > 0
+
+
+def test_signals_read_facts_links_and_front_matter_once(corpus, queries, monkeypatch):
+    of_facts = []
+    plain = facts.stored
+    monkeypatch.setattr(facts, "stored", lambda df, name="step": of_facts.append(name) or plain(df, name))
+    plans = made(monkeypatch, planner, lambda: planner.retrieve(corpus, queries, planner.Request(k=10, mode="hybrid")))
+    names = [name for name, _ in plans]
+    assert of_facts == ["triples"] and names.count("edges") == 1 and names.count("meta") == 1
+    meta = dict(plans)["meta"]
+    assert "BroadcastHashJoin" in meta and "SortMergeJoin" not in meta  # texts do not move
+
+
+def test_sources_within_a_pool_keep_their_scores(spark):
+    rows = [(f"t{i}", f"e{i % 4}", f"o{i % 3}", f"s{i % 5}") for i in range(40)]
+    triples = spark.createDataFrame(rows, "id string, subject string, object string, source string")
+    asked = spark.createDataFrame([(1, "e1"), (1, "e2"), (2, "o0"), (3, "none")], "item_id long, entity string")
+    every = {tuple(r) for r in facts.source_scores(asked, triples).collect()}
+    some = {tuple(r) for r in facts.source_scores(asked, triples, within=spark.createDataFrame([("s1",), ("s4",)], "source string")).collect()}
+    assert some == {r for r in every if r[1] in ("s1", "s4")} and 0 < len(some) < len(every)
