@@ -57,7 +57,7 @@ def test_queries_of_all_pairs_end_in_the_products(spark):
     from lodeweave.plans import catalogue
     from lodeweave.plans import search as _  # noqa: F401
 
-    for name in ("doc_similarity",):
+    for name in ("doc_similarity", "related_docs"):
         found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
         files = found.inputFiles()
         assert files and all("/sides-" in f for f in files), name
